@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.lines import line_records, table
-from . import audiences, components, copies, setjoin, together, topn
+from . import audiences, components, copies, encoding, packing, residue, setjoin, together, topn
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +71,22 @@ def p6_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return together.associations(_sets(spark, sf_dir), 8, 4.0)
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.corpus_ids(table(spark, sf_dir, "documents"))
+
+
+def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_sizes": p1_sizes, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p3_found": p3_found,
     "p3_classes": p3_classes, "p4_found": p4_found, "p5_found": p5_found, "p5_kept": p5_kept, "p6_found": p6_found, "p6_ratios": p6_ratios,
+    "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found,
 }
 
 _RECORDS = """
