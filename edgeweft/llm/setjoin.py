@@ -135,12 +135,12 @@ def similar_sets(reps: DataFrame, threshold: str, least: int = 1, frequent: int
 
     ``threshold`` is a decimal text, taken exactly. ``vs`` holds distinct values; sets with fewer than ``least``
     values, null and empty sets and null ids take no part. Equal sets must have been
-    grouped before. id1 < id2; every pair is verified on the whole sets. The list of frequent
-    tokens goes to all tasks; it has at most 100,000 times the mean set size entries.
+    grouped before. id1 < id2; every pair is verified on the whole sets. ``reps`` is read
+    several times and should be a table. The list of frequent tokens goes to all tasks; it has at most 100,000 times the mean set size entries.
     """
     t = Fraction(threshold)
     spark = reps.sparkSession
-    real = materialize(reps.where(F.col("id").isNotNull() & (F.size("vs") >= max(1, least))).select("id", "vs"), "sets")
+    real = reps.where(F.col("id").isNotNull() & (F.size("vs") >= max(1, least))).select("id", "vs")
     total, elements = real.agg(F.count(F.lit(1)), F.sum(F.size("vs"))).first()
     bound = max(frequent, (total or 0) // 100_000)
     tokens = real.select(F.explode("vs").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound)
