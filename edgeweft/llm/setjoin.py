@@ -81,7 +81,8 @@ def _signatures(tokens: np.ndarray, rare: np.ndarray, plan: list[tuple[int, bool
             total = np.where(inside, h, np.uint64(0)).sum(axis=1, dtype=np.uint64)
             strong = (r & inside).sum(axis=1)
             outside = active & ~inside
-            last = ~outside.any(axis=1) | (level + 1 >= LEVELS)
+            # not where nothing is outside: a partner may have an element there
+            last = np.full(len(row), m == 1 or level + 1 >= LEVELS)
             tag = np.uint64(level * 64 + i + 1)
             if whole:
                 value = mix(base ^ mix(total + tag, m), i)
