@@ -78,17 +78,18 @@ def hub_labels(adj: DataFrame) -> DataFrame:
     while True:
         found = level.join(ranked, ["s", "e"]).where("r2 > top").select("s", "hub", "top", F.col("nb").alias("e")).distinct()
         old = level if before is None else level.union(before)
-        fresh = materialize(found.join(old.select("s", "hub", "e"), ["s", "hub", "e"], "left_anti"), "level")
+        fresh = materialize(found.join(old.select("s", "hub", "e"), ["s", "hub", "e"], "left_anti").select("s", "hub", "top", "e"), "level")
         if fresh.isEmpty():
             break
         before, level = level, fresh
         levels.append(level)
     full = materialize(reduce(DataFrame.union, [x.select("s", "e", "hub", "top", F.lit(d).alias("d")) for d, x in enumerate(levels)]).dropDuplicates(["s", "e", "hub"]), "hubs")
-    x = full.select("s", "e", "hub", "d")
+    x = full.select("s", "e", "hub", "top", "d")
     y = full.select("s", F.col("e").alias("hub"), F.col("hub").alias("via"), F.col("top").alias("t"), F.col("d").alias("dv"))
     z = full.select("s", "e", F.col("hub").alias("via"), F.col("d").alias("de"))
-    worse = x.join(y.where("hub <> via"), ["s", "hub"]).join(z, ["s", "e", "via"]).where("dv + de <= d").select("s", "e", "hub").distinct()
-    return x.join(worse, ["s", "e", "hub"], "left_anti")
+    worse = x.join(y.where("hub <> via"), ["s", "hub"]).join(z, ["s", "e", "via"]).where("t < top and dv + de <= d")
+    worse = materialize(worse.select("s", "e", "hub").distinct(), "worse")
+    return x.join(worse, ["s", "e", "hub"], "left_anti").select("s", "e", "hub", "d")
 
 
 def hub_distances(pairs: DataFrame, labels: DataFrame) -> DataFrame:

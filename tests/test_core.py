@@ -28,7 +28,7 @@ def test_overlaps(small, ov):
     assert rows(overlap.overlaps(small, 2), "e1", "e2", "w") == [(0, 1, 2), (1, 2, 2), (2, 3, 2), (5, 6, 2)]
 
 
-@pytest.mark.parametrize("least", [1, 2, 3, 4])
+@pytest.mark.parametrize("least", [1, 3])
 def test_overlaps_against_brute_force(spark, least):
     rng = random.Random(least)
     sets = {e: {rng.choice([0, 1, 2, rng.randrange(30)]) for _ in range(rng.randint(1, 8))} for e in range(60)}
@@ -65,6 +65,22 @@ def test_components_of_chains(spark):
     random.Random(3).shuffle(order)
     edges = spark.createDataFrame([(1, order[i], order[i + 1]) for i in range(199)] + [(2, i, i + 1) for i in range(150)], "s int, e bigint, nb bigint")
     assert {(r.s, r.cc) for r in components.connect(edges).collect()} == {(1, 0), (2, 0)}
+    few = edges.where("e < 12 and nb < 12 and s = 2")
+    assert rows(components.connect(few, one_task_edges=0), "e", "cc") == [(e, 0) for e in range(12)]
+
+
+def test_levels_give_what_components_give(adj, spark):
+    sources = spark.createDataFrame([(1, 0), (2, 0), (1, 5)], "s int, src bigint")
+    targets = sources.select("s", "src", F.lit(4).cast("bigint").alias("e"))
+    want = rows(bfs.distances(adj, sources), "s", "src", "e", "dist")
+    assert rows(bfs.level_distances(adj, sources), "s", "src", "e", "dist") == want
+    assert (1, 0, 4, 3) in rows(bfs.level_distances(adj, sources, targets=targets), "s", "src", "e", "dist")
+    pairs = spark.createDataFrame([(1, 0, 3), (1, 0, 5)], "s int, p bigint, q bigint")
+    assert rows(bfs._level_paths(adj, pairs, True), "path") == [([0, 1, 3],), ([0, 2, 3],)]
+    labels = spark.createDataFrame([(3, "Red"), (4, "RED"), (1, "x")], "e bigint, label string")
+    wanted = spark.createDataFrame([(0, "red")], "src bigint, label string")
+    for search in (bfs.nearest_labelled, bfs._level_labelled):
+        assert (1, 0, 3, 2) in rows(search(adj, sources, labels, wanted, 1), "s", "src", "e", "dist")
 
 
 def test_bfs(adj, spark):
@@ -135,9 +151,9 @@ def brute_distances(edges):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_exact_indexes(spark, seed):
-    edges = random_graph(seed)
+    edges = random_graph(seed, 26, 32)
     want = brute_distances(edges)
     adj = spark.createDataFrame([(1, a, b) for a, b in edges] + [(1, b, a) for a, b in edges], "s int, e bigint, nb bigint").cache()
     nodes = sorted({x for e in edges for x in e})
@@ -155,12 +171,12 @@ def test_full_budget_is_exact(small, spark):
     assert all(r.lb == r.ub == r.d_hat for r in oracle.edge_bounds(built, queries).collect() if r.p != r.q)
 
 
-@pytest.mark.parametrize("strategy", sorted(landmarks.STRATEGIES))
+@pytest.mark.parametrize("strategy", ["farthest", "bestcover", "between"])
 def test_bounds_hold_for_every_strategy(spark, strategy):
     rng = random.Random(7)
-    inc = spark.createDataFrame(sorted({(e, rng.randrange(30)) for e in range(40) for _ in range(3)}), "e bigint, v bigint").cache()
-    built = oracle.build(inc, [1, 2], budget_per_edge=2, lb=2, strategy=strategy, alpha=0.2, beta=0.6)
-    adj = overlap.adjacency(overlap.overlaps(inc), [1, 2])
+    inc = spark.createDataFrame(sorted({(e, rng.randrange(14)) for e in range(24) for _ in range(3)}), "e bigint, v bigint").cache()
+    built = oracle.build(inc, [2], budget_per_edge=2, lb=2, strategy=strategy, alpha=0.2, beta=0.6)
+    adj = overlap.adjacency(overlap.overlaps(inc), [2])
     pairs = built.components.where("e % 5 = 0").select("s", F.col("e").alias("p"), F.col("cc").alias("q"))
     real = {(s, p, q): d for s, p, q, d in rows(exact.edge_profiles(adj, pairs), "s", "p", "q", "d")}
     for s, p, q, lb, ub in rows(oracle.edge_bounds(built, pairs), "s", "p", "q", "lb", "ub"):
