@@ -81,7 +81,7 @@ def _send_chunks(parts: int):
             texts = text_bytes(batch.column(2))
             for some in text_blocks(texts):
                 blocks += 1
-                yield _block_chunks(row[some], doc[some], null[some], texts[some], parts, int(row[some][0]) % SALTS)
+                yield _block_chunks(row[some], doc[some], null[some], texts[some], parts, hash_bytes(int(row[some][0]).to_bytes(8, "little")) % SALTS)
 
     return send
 

@@ -124,7 +124,7 @@ NO_CASES = [
     message(TALK + '\n\nThe form said "Please enable JavaScript" until we updated the browser.'),
     message(TALK + "\n\nOn 3 May 2024, X wrote:\n> Please enable JavaScript to view this message."),
     message(TALK + "\n\nf = {k: v for k, v in pairs}\nthe set {a, b}", subject="[EXTERNAL] plan {draft 2}"),
-    message("", subject=""), "", "   \r\n", None,
+    message("", subject=""), "", "   \r\n", None, message("the count of the boxes " * 20_000), "x" * 300_000,
 ]
 
 
