@@ -60,18 +60,36 @@ def min_size_counts(inc: DataFrame, max_s: int) -> DataFrame:
     return sizes.groupBy("s").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-def overlaps(inc: DataFrame, min_overlap: int = 1) -> DataFrame:
+#: A vertex is a hub if it has this many times the mean number of hyperedges.
+HUB = 8
+
+
+def _hubs_decide(degrees: DataFrame) -> bool:
+    """Whether hubs make at least half of all pairs that share a vertex."""
+    mean = degrees.agg(F.avg("n")).first()[0]
+    if mean is None:
+        return False
+    pairs = F.col("n") * (F.col("n") - 1.0)
+    total, hubs = degrees.agg(F.sum(pairs), F.sum(F.when(F.col("n") >= HUB * mean, pairs).otherwise(0.0))).first()
+    return 2 * hubs >= total > 0
+
+
+def overlaps(inc: DataFrame, min_overlap: int = 1, by_prefix: bool | None = None) -> DataFrame:
     """(e1, e2, w), e1 < e2: the number of common vertices of all pairs that share at least ``min_overlap``.
 
-    For min_overlap = s > 1 only pairs are looked at that share one of the |e| - s + 1 least frequent vertices of
+    For min_overlap = 1, and where hubs don't matter, hyperedges that are large enough are joined on their vertices and
+    counted. For min_overlap = s > 1 and hubs with half of all pairs (or as ``by_prefix`` says) only pairs are looked at that share one of the |e| - s + 1 least frequent vertices of
     both, in one global order: a pair with s common vertices can't have all of them among the s - 1 most
     frequent. So the most frequent vertices, whose pairs are the most, take part in the join only where
     they decide. The overlap of these pairs is counted on the whole sets.
     """
-    if min_overlap <= 1:
-        a, b = inc.select(F.col("e").alias("e1"), "v"), inc.select(F.col("e").alias("e2"), "v")
-        return a.join(b, "v").where("e1 < e2").groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("w"))
     degrees = inc.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    if by_prefix is None:
+        by_prefix = min_overlap > 1 and _hubs_decide(degrees)
+    if min_overlap <= 1 or not by_prefix:
+        able = inc.join(edges_of_min_size(inc, min_overlap).select("e"), "e") if min_overlap > 1 else inc
+        a, b = able.select(F.col("e").alias("e1"), "v"), able.select(F.col("e").alias("e2"), "v")
+        return a.join(b, "v").where("e1 < e2").groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= min_overlap)
     ranked = inc.join(degrees, "v").groupBy("e").agg(F.sort_array(F.collect_list(F.struct("n", "v"))).alias("o"))
     sets = materialize(ranked.where(F.size("o") >= min_overlap).select("e", F.col("o.v").alias("o")), "sets")
     prefix = sets.select("e", F.explode(F.slice("o", F.lit(1), F.size("o") - min_overlap + 1)).alias("v"))

@@ -28,13 +28,13 @@ def test_overlaps(small, ov):
     assert rows(overlap.overlaps(small, 2), "e1", "e2", "w") == [(0, 1, 2), (1, 2, 2), (2, 3, 2), (5, 6, 2)]
 
 
-@pytest.mark.parametrize("least", [1, 3])
-def test_overlaps_against_brute_force(spark, least):
+@pytest.mark.parametrize("least,by_prefix", [(1, None), (3, True), (2, False)])
+def test_overlaps_against_brute_force(spark, least, by_prefix):
     rng = random.Random(least)
     sets = {e: {rng.choice([0, 1, 2, rng.randrange(30)]) for _ in range(rng.randint(1, 8))} for e in range(60)}
     inc = spark.createDataFrame([(e, v) for e, vs in sets.items() for v in vs], "e bigint, v bigint")
     want = [(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least]
-    assert rows(overlap.overlaps(inc, least), "e1", "e2", "w") == sorted(want)
+    assert rows(overlap.overlaps(inc, least, by_prefix), "e1", "e2", "w") == sorted(want)
 
 
 def test_counts_and_sizes(small, ov):
