@@ -260,11 +260,18 @@ def corpus_ids(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     Texts are encoded whole; one text is one task's work.
     """
     parts = width_of(documents)
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     chunks = rows.mapInArrow(_send_chunks(parts), BLOCK_SCHEMA).repartitionById(parts, "part")
     return exchange(chunks, _encode_chunks(parts, vocabulary), parts, _assemble(vocabulary), "doc_id bigint, ids array<int>")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over at least as many partitions as tasks can run at once: work on texts is slow, and a few files are few tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def width_of(documents: DataFrame) -> int:
     """Partitions for work on texts: four for each partition that reads them, which may be of 128 MB compressed."""
     least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))

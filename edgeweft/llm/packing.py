@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialize
 from .blocks import mix
 from .bpe import VOCABULARY, encoder, text_blocks
-from .encoding import text_bytes
+from .encoding import spread, text_bytes
 
 CAPACITY = 4096
 #: Buckets of the hashed token vectors, and dimensions and bits of the curve.
@@ -87,7 +87,8 @@ def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             sizes, keys = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(keys)], names=["row", "doc_id", "n_tokens", "key"])
 
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts_of = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    rows = texts_of.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return rows.mapInArrow(work, "row bigint, doc_id bigint, n_tokens bigint, key bigint")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from . import exemplars, mail
-from .encoding import hash_bytes
+from .encoding import hash_bytes, spread
 
 #: Document frequencies are counted in this many buckets of hashed words, so their table is bounded.
 BUCKETS = 1 << 16
@@ -193,7 +193,7 @@ def parsed(documents: DataFrame) -> DataFrame:
                 names=["doc_id", "subject", "own"],
             )
 
-    return documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+    return spread(documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(
         work, "doc_id bigint, subject string, own string"
     )
 
@@ -231,7 +231,7 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     """
     messages = materialize(parsed(documents), "messages")
     frequency = np.zeros(BUCKETS, np.int64)
-    for b, n in word_frequencies(messages.select("own")).collect():
+    for b, n in word_frequencies(spread(messages.select("own"))).collect():
         frequency[b] = n
     shared = messages.sparkSession.sparkContext.broadcast((frequency, messages.count()))
 
@@ -242,4 +242,4 @@ def residue_documents(documents: DataFrame) -> DataFrame:
             case = np.array([is_residue(s, o, index) for s, o in zip(subject, own)], bool)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(case))], names=["doc_id"])
 
-    return messages.mapInArrow(work, "doc_id bigint")
+    return spread(messages).mapInArrow(work, "doc_id bigint")
