@@ -1,6 +1,6 @@
 """Settings as key=value, and the experiments over a hypergraph file.
 
-    python -m edgeweft.cli experiment=profiles dataFile=zebra.hg dataFolder=./datasets outputFolder=./out maxS=3
+    python -m edgeweft.cli experiment=profiles dataFile=graph.hg dataFolder=./datasets outputFolder=./out maxS=3
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .sources import files, sinks
 class Settings:
     dataFolder: str = "./datasets"
     outputFolder: str = "./out"
-    dataFile: str = "zebra.hg"
+    dataFile: str = "graph.hg"
     queryFile: str | None = None
     numLandmarks: int = 100
     landmarkSelection: str = "degree"

@@ -8,10 +8,11 @@ were running on it.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
@@ -46,7 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="edgeweft-")
+        made = tempfile.mkdtemp(prefix="edgeweft-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _LOCAL_DIRS[app] = "file://" + made
     return _LOCAL_DIRS[app]
 
 
