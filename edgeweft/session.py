@@ -12,10 +12,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -57,9 +59,24 @@ def _path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the session's Python workers this package, once, wherever they start."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = Path(__file__).resolve().parent
+    if not package.is_dir():  # the package is in a zip that was shipped already
+        return
+    made = tempfile.mkdtemp(prefix="edgeweft-package-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{made}/edgeweft", "zip", package.parent, package.name))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a frame that reads the files."""
     spark = df.sparkSession
+    ship(spark)
     path = _path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
