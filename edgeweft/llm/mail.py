@@ -15,7 +15,7 @@ _WORD = re.compile(r"=\?([^?\s]+)\?([BbQq])\?([^?]*)\?=(?:\s+(?==\?))?")
 _DROPPED = re.compile(r"<(style|script|head|title|noscript)\b[^>]*>.*?</\1\s*>|<!--.*?-->", re.I | re.S)
 _BREAK = re.compile(r"<(?:br|/p|/div|/li|/tr|/h[1-6]|/blockquote|p|div|tr|li|h[1-6])\b[^>]*>", re.I)
 _TAG = re.compile(r"</?(?:a|abbr|b|big|blockquote|body|center|code|div|em|font|h[1-6]|head|hr|html|i|img|li|link|meta|ol|p|pre|small|span|strong|style|sub|sup|table|tbody|td|th|thead|title|tr|tt|u|ul|noscript|!doctype|o:p)\b[^<>]*/?>", re.I)
-_QUOTED_BLOCK = re.compile(r"<blockquote\b.*", re.I | re.S)
+_BLOCKQUOTE = re.compile(r"<(/?)blockquote\b[^>]*>", re.I)
 _BASE64_LINE = re.compile(r"^[A-Za-z0-9+/]{16,}={0,2}$")
 _SPACES = re.compile(r"[ \t ]+")
 
@@ -77,9 +77,23 @@ def _decoded(body: str, encoding: str, charset: str) -> str:
     return raw.decode("utf-8", "replace")
 
 
+def _without_blockquotes(page: str) -> str:
+    """The page with an empty quoted line for each outermost blockquote, up to its own end tag; one that isn't closed goes to the end of the page."""
+    out, at, depth = [], 0, 0
+    for m in _BLOCKQUOTE.finditer(page):
+        if not m[1]:
+            if not depth:
+                out += page[at : m.start()], "<br>> <br>"
+            depth += 1
+        elif depth:
+            depth -= 1
+            at = m.end()
+    return "".join(out) + ("" if depth else page[at:])
+
+
 def html_text(page: str) -> str:
     page = _DROPPED.sub(" ", page)
-    page = _QUOTED_BLOCK.sub(" ", page)
+    page = _without_blockquotes(page)
     page = page.replace("\r\n", "\n")
     page = re.sub(r"\s*\n\s*", " ", page)
     page = _BREAK.sub("\n", page)
@@ -153,25 +167,55 @@ def _parts(head: dict[str, str], body: str, depth: int) -> list[str]:
 _QUOTE = re.compile(r"^\s*[>|]")
 _ORIGINAL = re.compile(r"^\s*-{2,}\s*(?:original message|forwarded message|ursprüngliche nachricht|weitergeleitete nachricht|message d'origine|message transféré|mensaje original|mensaje reenviado)\b|^\s*begin forwarded message", re.I)
 _ATTRIBUTION = re.compile(r"^\s*(?:on\b.{4,120}\bwrote|am\b.{4,120}\bschrieb\b.{0,60}|le\b.{4,120}\ba écrit|el\b.{4,120}\bescribió|[^<>\n]{1,60}<[^<>@\s]+@[^<>\s]+>)\s*:\s*$", re.I)
-_INLINE = re.compile(r"\s(?:On\b[^>|\n]{4,120}\bwrote|Am\b[^>|\n]{4,120}\bschrieb\b[^>|\n]{0,60}|Le\b[^>|\n]{4,120}\ba écrit|El\b[^>|\n]{4,120}\bescribió|[^<>|\n]{1,60}<[^<>@\s]+@[^<>\s]+>)\s*: ?[>|] .*|\s(?:_{20,}|\*{3}|--)\s.*|\s-----Original Message-----.*")
+_NAMED = re.compile(r"^[^<>\n]{1,60}<[^<>@\s]+@[^<>\s]+>\s*:\s*$")
+_WROTE = r"\s(?:On\b[^>|\n]{4,120}\bwrote|Am\b[^>|\n]{4,120}\bschrieb\b[^>|\n]{0,60}|Le\b[^>|\n]{4,120}\ba écrit|El\b[^>|\n]{4,120}\bescribió|[^<>|\n]{1,60}<[^<>@\s]+@[^<>\s]+>)\s*: ?[>|] "
+# a quote whose lines were joined ends at a blank line (two spaces) between texts without a mark
+_JOINED_END = rf"(?=$|(?<![\s>|])  (?![\s>|])(?! ?{_WROTE[2:]}))"
+_JOINED = re.compile(rf"{_WROTE}.*?{_JOINED_END}")
+_JOINED_MORE = re.compile(rf"  [>|]+ .*?{_JOINED_END}")
+_INLINE = re.compile(r"\s(?:_{20,}|\*{3}|--)\s.*|\s-----Original Message-----.*")
 _RULE = re.compile(r"^\s*(?:--|\*{3,}|_{20,}|-{5,}|={5,})\s*$")
 
 
-def own_lines(parts: list[str]) -> list[str]:
-    """Lines of the newly written text: without quoted and forwarded messages, and without what follows a rule (signature, disclaimer)."""
+def _own_of_line(line: str, below: bool) -> str:
+    line = " " + line
+    first = _JOINED.search(line)
+    if first:
+        rest = _JOINED_MORE.sub("", _JOINED.sub("", line[first.end() :])) if below else ""
+        line = _INLINE.sub("", line[: first.start()]) + _INLINE.sub("", rest)
+    else:
+        line = _INLINE.sub("", line)
+    return _SPACES.sub(" ", line).strip()
+
+
+def own_lines(parts: list[str], below: bool = True) -> list[str]:
+    """Lines of the newly written text, above, between and below quotes: without quoted and forwarded messages, and without what follows a rule (signature, disclaimer).
+
+    A quote is its marked lines; an empty line stands for each. A forwarded or original message, and an attribution like "On ... wrote:"
+    without marked lines after it, has no mark where it ends and goes to the end of the part. After an attribution a rule above it no longer holds.
+    below=False: only what stands above the first attribution of each part.
+    """
     out: list[str] = []
     for text in parts:
         ruled = False
-        for line in re.split(r"\r\n|\n|\r", text):
-            if _ORIGINAL.match(line) or _ATTRIBUTION.match(line):
-                break
+        lines = re.split(r"\r\n|\n|\r", text)
+        for i, line in enumerate(lines):
             if _QUOTE.match(line):
+                out.append("")
                 continue
+            if _ORIGINAL.match(line):
+                break
+            if _ATTRIBUTION.match(line):
+                if below and _QUOTE.match(next((x for x in lines[i + 1 :] if x.strip()), "")):
+                    ruled = False
+                    continue
+                if not below or not _NAMED.match(line):
+                    break
             if _RULE.match(line):
                 ruled = True
                 continue
             if not ruled:
-                out.append(_SPACES.sub(" ", _INLINE.sub("", " " + line)).strip())
+                out.append(_own_of_line(line, below))
     return out
 
 

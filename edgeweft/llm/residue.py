@@ -161,7 +161,9 @@ def windows(text: str) -> Iterator[list[str]]:
             yield words[i : i + WINDOW_WORDS]
 
 
-def is_residue(subject: str | None, own: str, index: Index) -> bool:
+def is_residue(subject: str | None, own: str, index: Index, opening: str | None = None) -> bool:
+    """opening: the part of ``own`` above the first quote, if that isn't all. It is surely the sender's, while lines below may have
+    lost their quote mark, so a message is residue if either of the two is."""
     for text in (html.unescape(subject or ""), own):
         marked, n = slotted(text) if text else ("", 0)
         if n:
@@ -169,32 +171,37 @@ def is_residue(subject: str | None, own: str, index: Index) -> bool:
                 words = words_of(sentence)
                 if "slot" in words and not index.is_talk(words):
                     return True
+    return _mostly_covered(own, index) or bool(opening) and _mostly_covered(opening, index)
+
+
+def _mostly_covered(text: str, index: Index) -> bool:
     total = covered = 0
-    for words in windows(own):
+    for words in windows(text):
         total += sum(w != "0" for w in words)
         covered += index.covered(words)
     return total > 0 and covered >= COVERED * total
 
 
-def own_text(text: str) -> tuple[str | None, str]:
-    """The subject and the newly written text, a line for each paragraph."""
+def own_text(text: str) -> tuple[str | None, str, str | None]:
+    """The subject and the newly written text, a line for each paragraph, and what of it stands above the first quote if that isn't all."""
     subject, parts = mail.text_parts(text)
-    return subject, "\n".join(mail.passages(mail.own_lines(parts)))
+    own, opening = ("\n".join(mail.passages(mail.own_lines(parts, below))) for below in (True, False))
+    return subject, own, opening if opening != own else None
 
 
 def parsed(documents: DataFrame) -> DataFrame:
-    """(doc_id, subject, own) of documents with a text that isn't null."""
+    """(doc_id, subject, own, opening) of documents with a text that isn't null."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [own_text(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s for s, _ in found], pa.string()), pa.array([o for _, o in found], pa.string())],
-                names=["doc_id", "subject", "own"],
+                [batch.column(0), *(pa.array([x[k] for x in found], pa.string()) for k in range(3))],
+                names=["doc_id", "subject", "own", "opening"],
             )
 
     return spread(documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(
-        work, "doc_id bigint, subject string, own string"
+        work, "doc_id bigint, subject string, own string, opening string"
     )
 
 
@@ -238,8 +245,8 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*shared.value)
         for batch in batches:
-            subject, own = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            case = np.array([is_residue(s, o, index) for s, o in zip(subject, own)], bool)
+            subject, own, opening = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            case = np.array([is_residue(s, o, index, a) for s, o, a in zip(subject, own, opening)], bool)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(case))], names=["doc_id"])
 
     return spread(messages).mapInArrow(work, "doc_id bigint")

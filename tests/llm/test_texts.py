@@ -146,3 +146,30 @@ def test_mail_parts():
     assert subject == "äö" and mail.passages(mail.own_lines(parts)) == ["café long"]
     attached = message("--b\nContent-Type: text/plain\n\nmine\n--b\nContent-Type: application/octet-stream\nContent-Disposition: attachment\nContent-Transfer-Encoding: base64\n\nAAAA\n--b", kind="multipart/mixed; boundary=b")
     assert mail.own_lines(mail.text_parts(attached)[1]) == ["mine"]
+
+
+def own(text):
+    return mail.passages(mail.own_lines(mail.text_parts(text)[1]))
+
+
+def test_text_below_and_between_quotes():
+    below = message("On 3 May 2024, X wrote:\n> Please enable JavaScript.\n> \n> -- \n> X\n\nHi X,\n\nmine below.\n\n--\nsignature")
+    assert own(below) == ["Hi X,", "mine below."]
+    between = message("Hi,\n\nX <x@b.example>:\n| first\nanswer one\n| second\n\nanswer two\n\n***\nrule\n\nX <x@b.example>:\n| third\nanswer three")
+    assert own(between) == ["Hi,", "answer one", "answer two", "answer three"]
+    page = "<div>above</div>On 3 May 2024, X wrote:<blockquote>a<blockquote type=cite>b</blockquote>c</blockquote><p>below</p><blockquote>d</blockquote>end"
+    assert own(message(page, kind="text/html")) == ["above", "below", "end"]
+    assert own(message("<p>above</p><blockquote>a<blockquote>b</blockquote>c<p>d</p>", kind="text/html")) == ["above"]
+    joined = message("Hi X,  On 3 May 2024, X wrote: > one >  > two  answer  >> three  end")
+    assert own(joined) == ["Hi X, answer end"]
+    assert own(message("mine\n\nOn 3 May 2024, X wrote:\n\nunmarked\n\nall theirs")) == ["mine"]
+    assert own(message("mine\n\n-----Original Message-----\nFrom: X\n\ntheirs\n> older\n\ntheirs")) == ["mine"]
+    assert own(message("write to\nX <x@b.example>:\nmine")) == ["write to X <x@b.example>: mine"]
+
+
+def test_residue_below_a_quote(spark):
+    quote = "On 3 May 2024, X wrote:\n> " + TALK.replace("\n", "\n> ") + "\n\n"
+    made = [message(quote + "Dear {{first_name}},\n\nyour order left our depot."), message(quote + TALK), message("Hi,\n\n" + quote + "Please enable JavaScript to view this message.")]
+    filler = [message(f"{TALK}\n\nNumber {i} of the list is at the depot with Ann {i % 7}.") for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(made + filler)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in residue.residue_documents(df).collect()) == [0, 2]
