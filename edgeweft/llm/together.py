@@ -80,12 +80,12 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def associations(baskets: DataFrame, min_count: int, min_ratio: float, chunk: int = CHUNK) -> DataFrame:
     """Pairs of items that occur together often and more often than chance.
 
-    ``baskets(id, vs ARRAY<BIGINT>)`` has distinct items in each list. The result is
+    ``baskets(id, vs ARRAY<BIGINT>)``: an item counts once for each basket. The result is
     (v1, v2, n1, n2, n12, ratio) with v1 < v2, where n1, n2 and n12 count the baskets that
     contain v1, v2 and both, and ratio = n12 * n / (n1 * n2) for n baskets; pairs with
     n12 >= min_count and ratio >= min_ratio. Baskets with a null or empty list count
     towards n if they have a row; null items don't count. Rows with the same id are one
-    basket. Empty input gives no rows.
+    basket, and so are those with a null id. Empty input gives no rows.
 
     Items that can't be in any such pair are left out first, which loses nothing: n12 is at
     most min(n1, n2), so both items need min_count baskets, and ratio is at most
@@ -93,9 +93,9 @@ def associations(baskets: DataFrame, min_count: int, min_ratio: float, chunk: in
     more than ``chunk`` remaining items are split into chunks whose pairs are separate tasks'
     work; all others are whole.
     """
-    inc = baskets.select("id", F.explode("vs").alias("v")).where(F.col("v").isNotNull())
+    inc = materialize(baskets.select("id", F.explode("vs").alias("v")).where(F.col("v").isNotNull()).distinct(), "inc")
     counts = materialize(inc.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "items")
-    n = baskets.count()
+    n = baskets.select("id").distinct().count()
     useful = counts.where((F.col("n") >= min_count) & (F.col("n") * F.lit(float(min_ratio)) <= F.lit(n)))
     rows = useful.select("v", F.col("n").alias("_rows"))
     kept = materialize(skewed_lookup(inc, useful.select("v"), ["v"], "id", counts=rows), "kept")

@@ -147,3 +147,12 @@ def test_associations(spark, chunk):
     got = together.associations(df, 3, 1.2, chunk)
     assert rows(got, "v1", "v2", "n1", "n2", "n12") == want
     assert want and together.associations(df.where("false"), 3, 1.2, chunk).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [2, 1000])
+def test_associations_of_repeated_rows(spark, chunk):
+    data = [(1, [1, 2]), (1, [2, 3, 3]), (1, [1, 2]), (2, [1, 2]), (3, [1, 2, 3]), (4, [9]), (4, [9]), (5, None), (5, []), (None, [7, 8]), (None, [8, 7])]
+    df = spark.createDataFrame(data, "id bigint, vs array<bigint>")
+    got = together.associations(df, 1, 1.0, chunk)
+    want = [(1, 2, 3, 3, 3, 2.0), (1, 3, 3, 2, 2, 2.0), (2, 3, 3, 2, 2, 2.0), (7, 8, 1, 1, 1, 6.0)]
+    assert rows(got, "v1", "v2", "n1", "n2", "n12", "ratio") == want
