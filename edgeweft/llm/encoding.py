@@ -145,6 +145,7 @@ def _encode_chunks(parts: int, vocabulary: str):
             heads, tails = heads + a, tails + b
             loose.append(c), ids.append(d), count.append(e)
         loose, ids, count = np.concatenate(loose), np.concatenate(ids), np.concatenate(count)
+        ids = ids.astype(np.uint16 if ids.max(initial=0) < 1 << 16 else np.uint32)
         at = np.cumsum(count) - count
         part = row % parts
         order = np.lexsort((which, part))
@@ -160,7 +161,7 @@ def _encode_chunks(parts: int, vocabulary: str):
             take = np.repeat(at[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             body = (
                 np.cumsum(new) - 1, row[mine], seq[mine], doc[mine], null[mine],
-                [heads[i] for i in used.tolist()], [tails[i] for i in used.tolist()], loose[used], n, ids[take].astype(np.uint16),
+                [heads[i] for i in used.tolist()], [tails[i] for i in used.tolist()], loose[used], n, ids[take],
             )
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pickle.dumps(body, 5)], pa.binary())], names=["part", "body"])
 

@@ -11,6 +11,9 @@ segment, and one of each segment without each of its elements.
 A signature that holds only frequent tokens, or none, would collect too many sets. Both
 partners see that alike, and refine it: within it, the rest of the set is split again by
 another hash, where the same argument holds, and the signatures are those of the pair of segments.
+
+The signatures of a set grow with the square of its size. Pairs with a set of more than LONG elements
+are therefore found by a shared token among the rarest |x| - ceil(t |x|) + 1 of each.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize, shuffle_width
 from .blocks import exchange, lists, mix, pack, unpack
@@ -31,6 +34,8 @@ FREQUENT = 256
 LEVELS = 3
 #: Signatures of one task.
 SIGNATURES_PER_TASK = 1_500_000
+#: Sets with more elements send no signatures.
+LONG = 512
 _KINDS = ["<u8", "<i8", "<u4", "<u2", "u1"]  # signature, id, parity sketch, size, whether an element was left out
 
 
@@ -131,6 +136,24 @@ def _candidates(signature: np.ndarray, ids: np.ndarray, sketch: np.ndarray, size
     return pairs[0], pairs[1]
 
 
+def _long_candidates(real: DataFrame, t: Fraction) -> DataFrame:
+    """(id1, id2): pairs of which one set at least has more than LONG elements and that share one of their rarest tokens."""
+    p, q = t.numerator, t.denominator
+    size = F.size("vs").cast("bigint")
+    able = real.where(size * q >= (LONG + 1) * p).select("id", size.alias("size"), F.explode("vs").alias("v"))
+    able = materialize(able, "long")
+    counts = able.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # tokens of one set only come first in the order of rarity and link nothing
+    kept = able.join(counts, "v")
+    left = kept.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("n").desc(), F.col("v").desc())))
+    # all but the ceil(t size) - 1 most frequent
+    prefix = materialize(left.where(F.col("rank") >= F.ceil(F.col("size") * p / q)).select("id", "size", "v"), "prefix")
+    x = prefix.select("v", F.col("id").alias("id1"), F.col("size").alias("a"))
+    y = prefix.select("v", F.col("id").alias("id2"), F.col("size").alias("b"))
+    near = (F.col("a") * q >= F.col("b") * p) & (F.col("b") * q >= F.col("a") * p) & (F.greatest("a", "b") > LONG)
+    return x.join(y, "v").where((F.col("id1") < F.col("id2")) & near).select("id1", "id2")
+
+
 def similar_sets(reps: DataFrame, threshold: str, least: int = 1, frequent: int = FREQUENT) -> DataFrame:
     """Pairs (id1, id2) of different sets ``reps(id, vs)`` with Jaccard similarity of at least ``threshold``.
 
@@ -142,7 +165,7 @@ def similar_sets(reps: DataFrame, threshold: str, least: int = 1, frequent: int
     t = Fraction(threshold)
     spark = reps.sparkSession
     real = reps.where(F.col("id").isNotNull() & (F.size("vs") >= max(1, least))).select("id", "vs")
-    total, elements = real.agg(F.count(F.lit(1)), F.sum(F.size("vs"))).first()
+    total, elements, largest = real.agg(F.count(F.lit(1)), F.sum(F.size("vs")), F.max(F.size("vs"))).first()
     bound = max(frequent, (total or 0) // 100_000)
     tokens = real.select(F.explode("vs").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound)
     hot = np.sort(np.array([r[0] for r in tokens.select("v").toLocalIterator()], np.int64))
@@ -177,7 +200,11 @@ def similar_sets(reps: DataFrame, threshold: str, least: int = 1, frequent: int
         id1, id2 = _candidates(*unpack(bodies, _KINDS), t)
         yield pa.RecordBatch.from_pydict({"id1": pa.array(id1), "id2": pa.array(id2)})
 
-    pairs = exchange(real, send, parts, receive, "id1 bigint, id2 bigint").distinct()
+    short = real if (largest or 0) <= LONG else real.where(F.size("vs") <= LONG)
+    pairs = exchange(short, send, parts, receive, "id1 bigint, id2 bigint")
+    if (largest or 0) > LONG:
+        pairs = pairs.unionByName(_long_candidates(real, t))
+    pairs = pairs.distinct()
     x = real.select(F.col("id").alias("id1"), F.col("vs").alias("x"))
     y = real.select(F.col("id").alias("id2"), F.col("vs").alias("y"))
     both = pairs.join(x, "id1").join(y, "id2")

@@ -97,6 +97,16 @@ def test_similar_long_sets_and_copies(spark):
     assert [x.count() for x in setjoin.similar_records(none, "0.7")] == [0, 0]
 
 
+def test_similar_very_long_sets(spark):
+    long = list(range(70_000))
+    data = [(1, long), (2, long[20_000:]), (3, long[22_000:]), (4, long[:-5]), (5, list(range(5))), (6, list(range(1, 6)))]
+    data += [(7, list(range(100_000, 100_600))), (8, list(range(100_000, 100_420))), (9, list(range(100_000, 100_419))), (10, long[1:] + [-1])]
+    df = spark.createDataFrame(data, "id bigint, vs array<bigint>")
+    want = jaccard_pairs({i: set(v) for i, v in data}, 0.7, 4)
+    assert (7, 8) in want and (7, 9) not in want and (1, 2) in want and (1, 3) not in want
+    assert rows(setjoin.similar_sets(df, "0.7", 4), "id1", "id2") == want
+
+
 @pytest.mark.parametrize("heavy", [5, 40, 10**6])
 def test_top_items(spark, heavy):
     rng = random.Random(heavy)

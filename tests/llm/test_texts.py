@@ -69,6 +69,15 @@ def test_corpus_ids(spark, reference):
     assert encoding.corpus_ids(df.where("false")).count() == 0
 
 
+def test_corpus_ids_of_a_large_vocabulary(spark, tmp_path):
+    path = tmp_path / "large.tiktoken"
+    ranks = [(bytes([b]), b) for b in range(256)] + [(b"ab", 70_000)]
+    path.write_text("".join(f"{base64.b64encode(a).decode()} {b}\n" for a, b in ranks))
+    text = "ab b\n" * 400
+    got = encoding.corpus_ids(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), str(path)).first().ids
+    assert got == [70_000, 32, 98, 10] * 400
+
+
 def test_hilbert_curve_is_continuous():
     side = 8
     points = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
