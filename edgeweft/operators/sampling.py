@@ -44,12 +44,20 @@ def pairs_within(components: DataFrame, n: int, seed: int, min_size: int = 3) ->
     """
     over = Window.partitionBy("s", "cc")
     members = ranked(components, ["s", "cc"], "e", seed).withColumn("size", F.count(F.lit(1)).over(over)).where(F.col("size") >= min_size)
-    total = members.agg(F.count(F.lit(1)), F.max("size")).first()
-    if not total[0]:
+    # m rows have at most sqrt(2 m) different sizes
+    sizes = members.where("rank = 1").groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not sizes:
         return components.select("s", F.col("e").alias("p"), F.col("e").alias("q")).where("false")
-    rounds = max(1, min(-(-n // total[0]) + 1, total[1] - 1))
-    if n >= total[0]:
-        rounds = max(rounds, min(total[1] - 1, 2 * -(-n // total[0]) + 1))
+
+    def pairs_up_to(k: int) -> int:
+        """Pairs at distance 1 to k in hash order, of all components."""
+        return sum(r["n"] * c * (2 * r["size"] - c - 1) // 2 for r in sizes for c in [min(k, r["size"] - 1)])
+
+    # the smallest number of rounds that gives n pairs, else all
+    low, rounds = 1, max(1, max(r["size"] for r in sizes) - 1)
+    while low < rounds:
+        k = (low + rounds) // 2
+        low, rounds = (low, k) if pairs_up_to(k) >= n else (k + 1, rounds)
     other = members.select("s", "cc", F.col("rank").alias("other"), F.col("e").alias("q"))
     step = members.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(rounds).cast("bigint"), F.col("size") - 1))))
     step = step.withColumn("other", F.col("rank") + F.col("k")).where("other <= size")

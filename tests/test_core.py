@@ -230,3 +230,10 @@ def test_sampling(spark):
     members = spark.createDataFrame([(1, e, 0) for e in range(5)] + [(1, 9, 9)], "s int, e bigint, cc bigint")
     assert rows(sampling.pairs_within(members, 100, 4), "p", "q") == [(a, b) for a in range(5) for b in range(a + 1, 5)]
     assert sampling.pairs_within(members, 3, 4).count() == 3
+
+
+def test_pairs_within_unlike_components(spark):
+    members = spark.range(300 * 3 + 100).selectExpr("1 as s", "id as e", "if(id < 900, id - id % 3, 900) as cc")
+    pairs = sampling.pairs_within(members, 10_000, 4)
+    assert pairs.distinct().count() == pairs.count() == 300 * 3 + 100 * 99 // 2
+    assert sampling.pairs_within(members, 5_000, 4).distinct().count() == 5_000
