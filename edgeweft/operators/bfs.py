@@ -145,8 +145,10 @@ def level_distances(adj: DataFrame, sources: DataFrame, max_depth: int | None =
         found = front.join(adj, ["s", "e"]).select("s", "src", F.col("nb").alias("e")).distinct()
         old = level if before is None else level.union(before)
         fresh = materialize(found.join(old, ["s", "src", "e"], "left_anti"), "level")
-        if fresh.isEmpty() or depth >= MAX_LEVELS:
+        if fresh.isEmpty():
             break
+        if depth >= MAX_LEVELS:
+            raise RuntimeError(f"nodes farther than {MAX_LEVELS} levels are left")
         before, level, depth = level, fresh, depth + 1
         levels.append(level)
         if left is not None:
@@ -160,13 +162,15 @@ def _level_labelled(adj: DataFrame, sources: DataFrame, labels: DataFrame, wante
     looks_for = wanted.select("src", F.lower("label").alias("label")).distinct()
     hits, before, depth = [], None, 0
     counts = None
-    while depth < MAX_LEVELS:
+    while True:
         front = level if counts is None else level.join(counts.where(F.col("n") >= max_reached).select("s", "src"), ["s", "src"], "left_anti")
         found = front.join(adj, ["s", "e"]).select("s", "src", F.col("nb").alias("e")).distinct()
         old = level if before is None else level.union(before)
         fresh = materialize(found.join(old, ["s", "src", "e"], "left_anti"), "level")
         if fresh.isEmpty():
             break
+        if depth >= MAX_LEVELS:
+            raise RuntimeError(f"nodes farther than {MAX_LEVELS} levels are left")
         before, level, depth = level, fresh, depth + 1
         hits.append(materialize(level.join(marked, "e").join(looks_for, ["src", "label"]).select("s", "src", "e", F.lit(depth).alias("dist")).distinct(), "hits"))
         counts = reduce(DataFrame.union, hits).groupBy("s", "src").agg(F.count(F.lit(1)).alias("n"))

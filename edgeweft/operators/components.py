@@ -74,6 +74,8 @@ def connect(edges: DataFrame, one_task_edges: int | None = None) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"the components aren't found after {MAX_ROUNDS} rounds")
     roots = pairs.select("s", "b").distinct().select("s", F.col("b").alias("e"), F.col("b").alias("cc"))
     return pairs.select("s", F.col("a").alias("e"), F.col("b").alias("cc")).union(roots)
 

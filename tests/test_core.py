@@ -237,3 +237,22 @@ def test_pairs_within_unlike_components(spark):
     pairs = sampling.pairs_within(members, 10_000, 4)
     assert pairs.distinct().count() == pairs.count() == 300 * 3 + 100 * 99 // 2
     assert sampling.pairs_within(members, 5_000, 4).distinct().count() == 5_000
+
+
+def test_guards_raise_instead_of_cutting(spark, monkeypatch):
+    chain = spark.range(6).selectExpr("1 as s", "id as e", "id + 1 as nb")
+    both = chain.union(chain.selectExpr("s", "nb", "e"))
+    source = spark.createDataFrame([(1, 0)], "s int, src bigint")
+    labels, wanted = both.selectExpr("e", "'x' as label"), source.selectExpr("src", "'x' as label")
+    monkeypatch.setattr(bfs, "MAX_LEVELS", 6)
+    assert bfs.level_distances(both, source).count() == 7
+    assert bfs._level_labelled(both, source, labels, wanted, 100).count() == 6
+    monkeypatch.setattr(bfs, "MAX_LEVELS", 5)
+    assert bfs.level_distances(both, source, max_depth=5).count() == 6
+    with pytest.raises(RuntimeError):
+        bfs.level_distances(both, source)
+    with pytest.raises(RuntimeError):
+        bfs._level_labelled(both, source, labels, wanted, 100)
+    monkeypatch.setattr(components, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        components.connect(both, one_task_edges=0)
