@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -66,41 +67,49 @@ def assign_by_ranking(sizes: DataFrame, budget: int, lb: int, alpha: float, beta
     components. Classes are ranked by size, vertices, s (descending, weighted alpha, 1 - alpha, beta)
     and landmarks so far (ascending). Each round gives a landmark to every component of the top bucket
     that the budget still allows. With more than ``max_classes`` classes, sizes and vertices are
-    rounded down to powers of two until there are no more; every component still takes part.
+    rounded down to powers of two for the ranking until there are no more; within such a group the larger classes come first,
+    and each is charged its own size and takes no more landmarks than that.
     """
     able = sizes.where(F.col("size") > lb)
+    classes = [(r["s"], r["size"], r["n_vertices"], r["n"]) for r in able.groupBy("s", "size", "n_vertices").agg(F.count(F.lit(1)).alias("n")).collect()]
     step = 0
     while True:
-        rounded = [F.floor(F.log2(F.col(c)) * F.lit(2.0 ** (3 - step)) + 1e-9) if step else F.col(c) for c in ("size", "n_vertices")]
-        classed = able.select("s", "cc", "size", rounded[0].alias("a"), rounded[1].alias("b"))
-        classes = classed.groupBy("s", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("cost"))
-        found = classes.limit(max_classes + 1).collect()
-        if len(found) <= max_classes:
+        groups: dict[tuple, list[int]] = {}
+        for i, (s, *counts, _) in enumerate(classes):
+            rounded = [math.floor(math.log2(c) * 2.0 ** (3 - step) + 1e-9) if step else c for c in counts]
+            groups.setdefault((s, *rounded), []).append(i)
+        if len(groups) <= max_classes:
             break
         step += 1
-    found.sort(key=lambda r: (r["s"], r["a"], r["b"]))
-    given = [0] * len(found)
+    found = sorted(groups)
+    members = [sorted(groups[g], key=lambda i: classes[i][1:3], reverse=True) for g in found]
+    given = [0] * len(classes)
+    turns = [0] * len(found)
     left = budget
-    scores = [([-float(r["a"]) for r in found], 1.0), ([-float(r["b"]) for r in found], alpha), ([-float(r["s"]) for r in found], beta)]
+    scores = [([-float(g[1]) for g in found], 1.0), ([-float(g[2]) for g in found], alpha), ([-float(g[0]) for g in found], beta)]
     while True:
-        open_classes = [i for i, r in enumerate(found) if given[i] < r["cost"] and r["cost"] <= left]
-        if not open_classes:
+        open_groups = [k for k, m in enumerate(members) if any(given[i] < classes[i][1] <= left for i in m)]
+        if not open_groups:
             break
-        columns = [[v[i] for i in open_classes] for v, _ in scores] + [[float(given[i]) for i in open_classes]]
+        columns = [[v[k] for k in open_groups] for v, _ in scores] + [[float(turns[k]) for k in open_groups]]
         top = consensus(columns, [w for _, w in scores] + [1.0])[0]
         took = False
         for j in top:
-            i = open_classes[j]
-            cost = found[i]["cost"] * found[i]["n"]
-            if cost <= left:
-                given[i] += 1
-                left -= cost
+            k = open_groups[j]
+            before = left
+            for i in members[k]:
+                cost = classes[i][1] * classes[i][3]
+                if given[i] < classes[i][1] and cost <= left:
+                    given[i] += 1
+                    left -= cost
+            if left < before:
+                turns[k] += 1
                 took = True
         if not took:
             break
-    rows = [(int(r["s"]), int(r["a"]), int(r["b"]), n) for r, n in zip(found, given) if n]
-    table = sizes.sparkSession.createDataFrame(rows, "s int, a bigint, b bigint, n bigint")
-    return classed.join(F.broadcast(table), ["s", "a", "b"]).select("s", "cc", "size", F.least("n", "size").alias("n"))
+    rows = [(int(s), int(a), int(b), n) for (s, a, b, _), n in zip(classes, given) if n]
+    table = sizes.sparkSession.createDataFrame(rows, "s int, size bigint, n_vertices bigint, n bigint")
+    return able.join(table, ["s", "size", "n_vertices"]).select("s", "cc", "size", "n")
 
 
 def _quota(components: DataFrame, assigned: DataFrame) -> DataFrame:

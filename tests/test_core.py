@@ -256,3 +256,13 @@ def test_guards_raise_instead_of_cutting(spark, monkeypatch):
     monkeypatch.setattr(components, "MAX_ROUNDS", 1)
     with pytest.raises(RuntimeError):
         components.connect(both, one_task_edges=0)
+
+
+@pytest.mark.parametrize("max_classes", [3, 400])
+def test_ranking_charges_real_sizes(spark, max_classes):
+    sizes = spark.range(5, 30).selectExpr("1 as s", "id as cc", "id as size", "id * 2 as n_vertices")
+    every = sum(x * x for x in range(5, 30))
+    got = rows(landmarks.assign_by_ranking(sizes, every, 4, 0.5, 0.5, max_classes), "size", "n")
+    assert got == [(x, x) for x in range(5, 30)]
+    part = rows(landmarks.assign_by_ranking(sizes, every // 3, 4, 0.5, 0.5, max_classes), "size", "n")
+    assert every // 3 - 30 <= sum(x * n for x, n in part) <= every // 3
