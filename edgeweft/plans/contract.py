@@ -105,6 +105,15 @@ def _(spark, d):
     return overlap.overlap_of(pairs, overlap.overlaps(inc))
 
 
+@query("h1_overlap_of_pairs_all", f"""WITH {H1}, {OVERLAPS}, a AS (SELECT DISTINCT e FROM inc), p AS (SELECT x.e AS p, y.e AS q FROM a x JOIN a y ON y.e = x.e + 1)
+    SELECT p, q, coalesce(w, -1) AS w FROM p LEFT JOIN ov ON e1 = p AND e2 = q""")
+def _(spark, d):
+    inc = Graph.of(spark, d).inc
+    e = inc.select("e").distinct()
+    pairs = e.select(F.col("e").alias("p"), (F.col("e") + 1).alias("q")).join(e.select(F.col("e").alias("q")), "q").select("p", "q")
+    return overlap.overlap_of(pairs, overlap.overlaps(inc))
+
+
 @query("h1_s_neighbours", f"WITH {graph_sql()} SELECT adj.e, nb, w FROM adj JOIN ov ON e1 = least(adj.e, nb) AND e2 = greatest(adj.e, nb) WHERE s = 2 AND adj.e % 20 = 0")
 def _(spark, d):
     g = Graph.of(spark, d)
@@ -150,6 +159,12 @@ def _(spark, d):
     return overlap.edges_of_vertices(inc, inc.where("v % 20 = 0").select("v"), 2)
 
 
+@query("h1_edges_of_vertices_all", f"WITH {H1}, {SIZES} SELECT v, inc.e FROM inc JOIN sz ON sz.e = inc.e WHERE size >= 2")
+def _(spark, d):
+    inc = Graph.of(spark, d).inc
+    return overlap.edges_of_vertices(inc, inc.select("v"), 2)
+
+
 @query("h1_common_edge_pairs", f"""WITH {H1}, p AS (SELECT DISTINCT v AS u, v + 1 AS v FROM inc WHERE v % 20 = 0)
     SELECT u, v, EXISTS (SELECT 1 FROM inc a JOIN inc b ON a.e = b.e WHERE a.v = p.u AND b.v = p.v) AS common FROM p""")
 def _(spark, d):
@@ -157,6 +172,13 @@ def _(spark, d):
     return overlap.in_common_edge(g.vertex_pairs.select("u", "v"), g.inc)
 
 
+@query("h1_common_edge_pairs_all", f"""WITH {H1}, p AS (SELECT DISTINCT v AS u, v + 1 AS v FROM inc),
+    c AS (SELECT DISTINCT a.v AS u FROM inc a JOIN inc b ON a.e = b.e AND b.v = a.v + 1) SELECT p.u, p.v, c.u IS NOT NULL AS common FROM p LEFT JOIN c ON c.u = p.u""")
+def _(spark, d):
+    inc = Graph.of(spark, d).inc
+    return overlap.in_common_edge(inc.select(F.col("v").alias("u"), (F.col("v") + 1).alias("v")).distinct(), inc)
+
+
 @query("h1_set_relations", f"""WITH {H1}, {OVERLAPS}, sets AS (SELECT e, list_sort(list(v)) AS vs FROM inc GROUP BY e)
     SELECT e1 AS p, e2 AS q, true AS intersects, len(list_intersect(a.vs, b.vs)) = len(b.vs) AS contains, a.vs = b.vs AS same_set, w AS n_common, least(w, 2) AS capped
     FROM ov JOIN sets a ON a.e = e1 JOIN sets b ON b.e = e2 WHERE w >= 2""")
@@ -503,6 +525,12 @@ def _(spark, d):
     return oracle.approx_closeness(g.oracle, g.sources.select("s", F.col("src").alias("e")))
 
 
+@query("h1_closeness_approx_all", f"WITH RECURSIVE {ORACLE}, {_APPROX} SELECT s, e, closeness FROM ac")
+def _(spark, d):
+    g = Graph.of(spark, d)
+    return oracle.approx_closeness(g.oracle, g.components.select("s", "e"))
+
+
 @query("h1_vertex_closeness_approx", f"""WITH RECURSIVE {ORACLE}, {_APPROX}
     SELECT 2 AS s, v, coalesce(max(closeness), 0.0) AS closeness FROM inc LEFT JOIN (SELECT e, closeness FROM ac WHERE s = 2) a ON a.e = inc.e WHERE v % 20 = 0 GROUP BY v""")
 def _(spark, d):
@@ -510,6 +538,13 @@ def _(spark, d):
     return oracle.approx_vertex_closeness(g.oracle, g.inc, g.inc.where("v % 20 = 0").select("v"), 2)
 
 
+@query("h1_vertex_closeness_approx_all", f"""WITH RECURSIVE {ORACLE}, {_APPROX}
+    SELECT 2 AS s, v, coalesce(max(closeness), 0.0) AS closeness FROM inc LEFT JOIN (SELECT e, closeness FROM ac WHERE s = 2) a ON a.e = inc.e GROUP BY v""")
+def _(spark, d):
+    g = Graph.of(spark, d)
+    return oracle.approx_vertex_closeness(g.oracle, g.inc, g.inc.select("v"), 2)
+
+
 @query("h1_topk_landmarks", f"""WITH RECURSIVE {ORACLE} SELECT s, e AS q, CAST(row_number() OVER w AS INTEGER) AS rank, src AS e, d AS dist FROM lab WHERE e % 20 = 0 AND src <> e
     WINDOW w AS (PARTITION BY s, lab.e ORDER BY d, src) QUALIFY row_number() OVER w <= 5""")
 def _(spark, d):

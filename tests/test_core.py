@@ -6,6 +6,7 @@ from collections import defaultdict, deque
 import pytest
 
 from edgeweft.operators import bfs, components, exact, hubs, landmarks, metrics, oracle, overlap, ranking, sampling
+from edgeweft.plans import contract
 from pyspark.sql import functions as F
 
 
@@ -266,3 +267,14 @@ def test_ranking_charges_real_sizes(spark, max_classes):
     assert got == [(x, x) for x in range(5, 30)]
     part = rows(landmarks.assign_by_ranking(sizes, every // 3, 4, 0.5, 0.5, max_classes), "size", "n")
     assert every // 3 - 30 <= sum(x * n for x, n in part) <= every // 3
+
+
+def test_queries_of_all_rows(spark, tmp_path):
+    lines = [(e, v) for e in range(1, 31) for v in (e // 6, 100 + e // 6, 200 + e)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    run = lambda name: contract.QUERIES[name](spark, str(tmp_path))
+    assert rows(run("h1_edges_of_vertices_all"), "v", "e") == sorted((v, e) for e, v in lines)
+    assert run("h1_overlap_of_pairs_all").count() == 29
+    vertices = {v for _, v in lines}
+    assert run("h1_common_edge_pairs_all").count() == run("h1_vertex_closeness_approx_all").count() == len(vertices)
+    assert rows(run("h1_closeness_approx_all"), "s", "e") == [(s, e) for s in (2, 3) for e in range(1, 31)]
