@@ -267,10 +267,10 @@ def corpus_ids(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return exchange(chunks, _encode_chunks(parts, vocabulary), parts, _assemble(vocabulary), "doc_id bigint, ids array<int>")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The frame over at least as many partitions as tasks can run at once: work on texts is slow, and a few files are few tasks."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, least: int = 1) -> DataFrame:
+    """The frame over at least ``least`` partitions, and as many as tasks can run at once: work on texts is slow, and a few files are few tasks."""
+    width = max(least, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
 
 
 def width_of(documents: DataFrame) -> int:

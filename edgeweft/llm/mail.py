@@ -17,6 +17,7 @@ _BREAK = re.compile(r"<(?:br|/p|/div|/li|/tr|/h[1-6]|/blockquote|p|div|tr|li|h[1
 _TAG = re.compile(r"</?(?:a|abbr|b|big|blockquote|body|center|code|div|em|font|h[1-6]|head|hr|html|i|img|li|link|meta|ol|p|pre|small|span|strong|style|sub|sup|table|tbody|td|th|thead|title|tr|tt|u|ul|noscript|!doctype|o:p)\b[^<>]*/?>", re.I)
 _BLOCKQUOTE = re.compile(r"<(/?)blockquote\b[^>]*>", re.I)
 _BASE64_LINE = re.compile(r"^[A-Za-z0-9+/]{16,}={0,2}$")
+_LINE_END = re.compile(r"\r\n|\n|\r")
 _SPACES = re.compile(r"[ \t ]+")
 
 
@@ -131,6 +132,25 @@ def _headless(text: str) -> list[str]:
     return [html_text(text) if _looks_html(text) else text]
 
 
+def _between(body: str, mark: str) -> list[str]:
+    """The body cut at the lines that hold nothing but the mark, and maybe two dashes and blanks after it."""
+    pieces, start, at = [], 0, body.find(mark)
+    while at >= 0:
+        end = at + len(mark)
+        if body.startswith("--", end):
+            end += 2
+        while body[end : end + 1] in (" ", "\t"):
+            end += 1
+        if (not at or body[at - 1] == "\n") and (end == len(body) or body.startswith(("\n", "\r\n"), end)):
+            before = max(start, at - 1 if at else 0)
+            if before > start and body[before - 1] == "\r":
+                before -= 1
+            pieces.append(body[start:before])
+            start = end
+        at = body.find(mark, max(end, at + 1))
+    return [*pieces, body[start:]]
+
+
 def _parts(head: dict[str, str], body: str, depth: int) -> list[str]:
     kind = head.get("content-type", "text/plain")
     low = kind.lower()
@@ -138,7 +158,7 @@ def _parts(head: dict[str, str], body: str, depth: int) -> list[str]:
         return []
     if low.startswith("multipart/") and depth < 8:
         m = _BOUNDARY.search(kind)
-        pieces = re.split(r"(?:^|\r?\n)--" + re.escape(m[1]) + r"(?:--)?[ \t]*(?=\r?\n|$)", body) if m else [body]
+        pieces = _between(body, "--" + m[1]) if m else [body]
         found = []
         for piece in pieces[1:] if m else pieces:
             piece = re.sub(r"^\r?\n", "", piece, count=1)
@@ -174,20 +194,26 @@ _JOINED_END = rf"(?=$|(?<![\s>|])  (?![\s>|])(?! ?{_WROTE[2:]}))"
 _JOINED = re.compile(rf"{_WROTE}.*?{_JOINED_END}")
 _JOINED_MORE = re.compile(rf"  [>|]+ .*?{_JOINED_END}")
 _INLINE = re.compile(r"\s(?:_{20,}|\*{3}|--)\s.*|\s-----Original Message-----.*")
+_WROTE_WORD = re.compile(r"wrote|schrieb|a écrit|escribió", re.I)
 _RULE = re.compile(r"^\s*(?:--|\*{3,}|_{20,}|-{5,}|={5,})\s*$")
 
 
 def _own_of_line(line: str, below: bool) -> str:
     line = " " + line
-    first = _JOINED.search(line)
+    first = _JOINED.search(line) if ":" in line and (">" in line or "|" in line) else None
     if first:
         rest = _JOINED_MORE.sub("", _JOINED.sub("", line[first.end() :])) if below else ""
         line = _INLINE.sub("", line[: first.start()]) + _INLINE.sub("", rest)
-    else:
+    elif "--" in line or "***" in line or "____" in line:
         line = _INLINE.sub("", line)
     return _SPACES.sub(" ", line).strip()
 
 
+def quotes_in_line(parts: list[str]) -> bool:
+    """Whether any part may hold an attribution like "On ... wrote:"; without one all its own text stands above the first quote."""
+    return any(":" in x and (">" in x or _WROTE_WORD.search(x)) for x in parts)
+
+
 def own_lines(parts: list[str], below: bool = True) -> list[str]:
     """Lines of the newly written text, above, between and below quotes: without quoted and forwarded messages, and without what follows a rule (signature, disclaimer).
 
@@ -198,20 +224,25 @@ def own_lines(parts: list[str], below: bool = True) -> list[str]:
     out: list[str] = []
     for text in parts:
         ruled = False
-        lines = re.split(r"\r\n|\n|\r", text)
+        lines = _LINE_END.split(text)
         for i, line in enumerate(lines):
-            if _QUOTE.match(line):
+            bare = line.strip()
+            if not bare:
+                if not ruled:
+                    out.append("")
+                continue
+            if bare[0] in ">|":
                 out.append("")
                 continue
-            if _ORIGINAL.match(line):
+            if bare[0] in "-bB" and _ORIGINAL.match(line):
                 break
-            if _ATTRIBUTION.match(line):
+            if bare[-1] == ":" and _ATTRIBUTION.match(line):
                 if below and _QUOTE.match(next((x for x in lines[i + 1 :] if x.strip()), "")):
                     ruled = False
                     continue
                 if not below or not _NAMED.match(line):
                     break
-            if _RULE.match(line):
+            if bare[0] in "-*_=" and _RULE.match(line):
                 ruled = True
                 continue
             if not ruled:

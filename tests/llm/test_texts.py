@@ -182,3 +182,33 @@ def test_residue_below_a_quote(spark):
     filler = [message(f"{TALK}\n\nNumber {i} of the list is at the depot with Ann {i % 7}.") for i in range(60)]
     df = spark.createDataFrame(list(enumerate(made + filler)), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in residue.residue_documents(df).collect()) == [0, 2]
+
+
+def index_of_even_words():
+    return residue.Index(np.full(residue.BUCKETS, 3), 1000)
+
+
+def test_placeholders_by_exemplars():
+    index = index_of_even_words()
+    for text in ("Dear {{unknownThing}},", "to <your postal code>", "an [Name der Firma]", "Betrag: %RECHNUNGSBETRAG_BETRAG%", "am {0} um", "Hi <% x.y %>", "le $date_commande$", "({anything} (colour goes here)"):
+        assert index.open_slots(text) == 1, text
+    for text in ("plan {draft 2}", "[EXTERNAL] plan", "{a, b} and a[i]", "x < 3 and y > 2", "100% of 5%", "a_b __init", "the [blue] one", "", "$HOME", "{}", "[]"):
+        assert index.open_slots(text) == 0, text
+    assert index.open_slots("The last mailing went out with {{first_name}} in the greeting, which is embarrassing.") == 0
+    assert index.open_slots("Dear {{a}}, on {{b}}. The last mailing went out with {{c}} in the greeting, which is embarrassing.") == 2
+
+
+def test_coverage_of_windows():
+    index = index_of_even_words()
+    every = ["404 Not Found", "", "the harvest of the orchard was good", "Zugriff verweigert. Bitte schalten Sie JavaScript ein.", "404 Not Found\n" + "apple pear plum " * 400, "___ -- ...", "lorem ipsum dolor " * 30_000]
+    got = index.coverage(every)
+    assert got[0] == got[3] == got[6] == 1 and got[1] == got[2] == got[5] == 0 and 0 < got[4] < 0.05
+    one = np.concatenate([index.coverage([x]) for x in every])
+    assert np.allclose(got, one)
+    assert [x for s in residue.blocks(["a" * 3_000_000] * 3 + ["b"]) for x in range(s.start, s.stop)] == [0, 1, 2, 3] and list(residue.blocks([])) == []
+
+
+def test_multipart_marks():
+    body = "pre\r\n--b\r\none --b two\r\n--b  \ntwo\n--bc\n--b--"
+    assert mail._between(body, "--b") == ["pre", "\r\none --b two", "\ntwo\n--bc", ""]
+    assert mail._between("--b\nx", "--b") == ["", "\nx"] and mail._between("x", "--b") == ["x"]
