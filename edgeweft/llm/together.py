@@ -12,33 +12,37 @@ from ..operators.skew import skewed_lookup
 from ..session import materialize
 from .blocks import lists
 
-#: Items from which on a basket is large; also the size of the chunks it is split into.
+#: A basket is large if it makes this many times as many pairs as the mean basket.
+LARGE = 4
+#: Items of a chunk of a large basket at most; it has two chunks at least.
 CHUNK = 1_000
 #: Pairs held before they are combined and sent on.
 PAIRS_HELD = 2_000_000
 
 
-def _blocks(kept: DataFrame, chunk: int) -> DataFrame:
+def _blocks(kept: DataFrame, chunk: int, large: float) -> DataFrame:
     """Item lists whose pairs make up all pairs of every basket, once each: (left, right).
 
     An ordinary basket is one block with an empty right side. A large basket is split into
-    chunks by a hash of the item; each pair of chunks is a block, and so is each chunk.
+    chunks by a hash of the item; each pair of chunks is a block, and so is each chunk. What is large follows from the baskets
+    themselves, so baskets are split at every size of the input.
     """
-    size = kept.groupBy("id").agg(F.count(F.lit(1)).alias("m"))
-    large = materialize(size.where(F.col("m") > chunk).select("id", F.ceil(F.col("m") / chunk).cast("int").alias("k")), "large")
-    if not large.head(1):
-        return kept.groupBy("id").agg(F.collect_list("v").alias("left")).where(F.size("left") > 1).select("left", F.array().cast("array<bigint>").alias("right"))
-    # a large basket has over `chunk` rows, so there are at most rows / chunk of them; no broadcast hint
-    ordinary = kept.join(large, "id", "left_anti").groupBy("id").agg(F.collect_list("v").alias("left"))
-    ordinary = ordinary.where(F.size("left") > 1).select("left", F.array().cast("array<bigint>").alias("right"))
-    parts = skewed_lookup(kept, large, ["id"], "v").withColumn("c", F.pmod(F.xxhash64("v"), F.col("k")).cast("int"))
-    other = parts.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cell = other.select("id", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "c", "v").groupBy("id", "i", "j")
-    split = cell.agg(
+    size = materialize(kept.groupBy("id", "none").agg(F.count(F.lit(1)).alias("m")), "basket_sizes")
+    pairs = F.col("m") * (F.col("m") - 1.0)
+    mean = size.agg(F.avg(pairs)).first()[0] or 0.0
+    chunks = F.greatest(F.lit(2), F.ceil(F.col("m") / chunk)).cast("int")
+    # up to a quarter of all baskets, so there is no broadcast hint
+    split = size.where((F.col("m") > 3) & (pairs > F.lit(large * mean)) | (F.col("m") > chunk)).select("id", "none", chunks.alias("k"), "m")
+    counts = split.select("id", "none", F.col("m").alias("_rows"))
+    placed = skewed_lookup(kept, split.drop("m"), ["id", "none"], "v", how="left", counts=counts).withColumn("k", F.coalesce("k", F.lit(1)))
+    placed = placed.withColumn("c", F.pmod(F.xxhash64("v"), F.col("k")).cast("int"))
+    other = placed.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cell = other.select("id", "none", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "c", "v").groupBy("id", "none", "i", "j")
+    both = cell.agg(
         F.collect_list(F.when(F.col("c") == F.col("i"), F.col("v"))).alias("left"),
         F.collect_list(F.when((F.col("c") == F.col("j")) & (F.col("i") != F.col("j")), F.col("v"))).alias("right"),
-    ).where("(i = j and size(left) > 1) or (i < j and size(left) > 0 and size(right) > 0)")
-    return ordinary.unionByName(split.select("left", "right"))
+    )
+    return both.where("(i = j and size(left) > 1) or (i < j and size(left) > 0 and size(right) > 0)").select("left", "right")
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +81,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def associations(baskets: DataFrame, min_count: int, min_ratio: float, chunk: int = CHUNK) -> DataFrame:
+def associations(baskets: DataFrame, min_count: int, min_ratio: float, chunk: int = CHUNK, large: float = LARGE) -> DataFrame:
     """Pairs of items that occur together often and more often than chance.
 
     ``baskets(id, vs ARRAY<BIGINT>)``: an item counts once for each basket. The result is
@@ -89,17 +93,17 @@ def associations(baskets: DataFrame, min_count: int, min_ratio: float, chunk: in
 
     Items that can't be in any such pair are left out first, which loses nothing: n12 is at
     most min(n1, n2), so both items need min_count baskets, and ratio is at most
-    n / max(n1, n2), so neither may occur in more than n / min_ratio of them. Baskets with
-    more than ``chunk`` remaining items are split into chunks whose pairs are separate tasks'
-    work; all others are whole.
+    n / max(n1, n2), so neither may occur in more than n / min_ratio of them. Baskets that make
+    ``large`` times as many pairs of remaining items as the mean basket, or have more than ``chunk`` items, are split into two or more chunks of
+    about ``chunk`` items at most, whose pairs are separate tasks' work; all others are whole.
     """
-    inc = materialize(baskets.select("id", F.explode("vs").alias("v")).where(F.col("v").isNotNull()).distinct(), "inc")
+    rows = materialize(baskets.select(F.coalesce("id", F.lit(0)).alias("id"), F.isnull("id").alias("none"), "vs"), "baskets")
+    inc = materialize(rows.select("id", "none", F.explode("vs").alias("v")).where(F.col("v").isNotNull()).distinct(), "inc")
     counts = materialize(inc.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "items")
-    n = baskets.select("id").distinct().count()
+    n = rows.select("id", "none").distinct().count()
     useful = counts.where((F.col("n") >= min_count) & (F.col("n") * F.lit(float(min_ratio)) <= F.lit(n)))
-    rows = useful.select("v", F.col("n").alias("_rows"))
-    kept = materialize(skewed_lookup(inc, useful.select("v"), ["v"], "id", counts=rows), "kept")
-    pairs = _blocks(kept, chunk).mapInArrow(_count_pairs, "v1 bigint, v2 bigint, n bigint")
+    kept = materialize(skewed_lookup(inc, useful.select("v"), ["v"], "id", counts=useful.select("v", F.col("n").alias("_rows"))), "kept")
+    pairs = _blocks(kept, chunk, large).mapInArrow(_count_pairs, "v1 bigint, v2 bigint, n bigint")
     often = pairs.groupBy("v1", "v2").agg(F.sum("n").alias("n12")).where(F.col("n12") >= min_count)
     c1 = useful.select(F.col("v").alias("v1"), F.col("n").alias("n1"))
     c2 = useful.select(F.col("v").alias("v2"), F.col("n").alias("n2"))
