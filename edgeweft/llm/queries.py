@@ -17,6 +17,12 @@ def p1_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("s", "cc").agg(F.count(F.lit(1)).alias("size"))
 
 
+def p1_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with an eighth of all rows in a task, so that forests are merged over several levels at every size."""
+    links = table(spark, sf_dir, "line_graph")
+    return components.linked_groups(links, max(1, links.count() // 8))
+
+
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_records(table(spark, sf_dir, "etfs").where(F.col("dataset").isNotNull()), "dataset")
     return lines.select(F.col("dataset").alias("ds"), F.explode("vs").alias("v"))
@@ -84,7 +90,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_sizes": p1_sizes, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p3_found": p3_found,
+    "p1_found": p1_found, "p1_sizes": p1_sizes, "p1_merged": p1_merged, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p3_found": p3_found,
     "p3_classes": p3_classes, "p4_found": p4_found, "p5_found": p5_found, "p5_kept": p5_kept, "p6_found": p6_found, "p6_ratios": p6_ratios,
     "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found,
 }
@@ -122,6 +128,7 @@ _COPIES = ", g AS (SELECT id, min(id) OVER w AS keep_id, count(*) OVER w AS copi
 SQL = {
     "p1_found": f"WITH RECURSIVE {_COMPONENTS} SELECT s, e, cc FROM c",
     "p1_sizes": f"WITH RECURSIVE {_COMPONENTS} SELECT s, cc, count(*) AS size FROM c GROUP BY s, cc",
+    "p1_merged": f"WITH RECURSIVE {_COMPONENTS} SELECT s, e, cc FROM c",
     "p2_found": f"""WITH {_RECORDS}, {_OVERLAPS}
         SELECT ds1, ds2 FROM o JOIN z a ON a.ds = ds1 JOIN z b ON b.ds = ds2 WHERE 10 * shared >= 3 * least(a.size, b.size)""",
     "p2_overlaps": f"WITH {_RECORDS}, {_OVERLAPS} SELECT ds1, ds2, shared FROM o",
