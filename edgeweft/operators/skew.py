@@ -108,3 +108,30 @@ def skewed_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: s
     spread_to = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     repeated = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(spread_to)).drop("_salts")
     return salted.drop("_salts").join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def group_pairs(rows: DataFrame, keys: list[str], item: str, block_rows: int = 20_000, counts: DataFrame | None = None) -> DataFrame:
+    """(keys, a, b), a < b: all pairs of items in the same group, though a few groups may hold most rows.
+
+    ``rows`` holds each item of a group once; null keys and items make no pairs. Groups with more than ``block_rows`` items are split into blocks by a
+    hash of the item; each pair of blocks is a cell of its own, so no task has more than the pairs of
+    two blocks. Other groups are joined whole. ``counts`` (keys, _rows) may be given where the rows of each key are known already.
+    """
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = counts.where((F.col("_rows") > block_rows) & F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull())
+    hot = materialize(hot.select(*keys, F.ceil(F.col("_rows") / F.lit(block_rows)).cast("int").alias("_k")), "hot")
+    plain = rows.select(*keys, item)
+    if not hot.isEmpty():
+        # a hot group has over block_rows rows; how many there are depends on the input, so there is no broadcast hint
+        plain = plain.join(hot, keys, "left_anti")
+    found = plain.withColumnRenamed(item, "a").join(plain.withColumnRenamed(item, "b"), keys).where("a < b")
+    if hot.isEmpty():
+        return found
+    placed = skewed_lookup(rows.select(*keys, item), hot, keys, item).withColumn("_c", F.pmod(F.xxhash64(item), F.col("_k")).cast("int"))
+    cells = placed.withColumn("_d", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select(
+        *keys, item, "_c", F.least("_c", "_d").alias("_i"), F.greatest("_c", "_d").alias("_j")
+    )
+    left, right = cells.withColumnRenamed(item, "a"), cells.select(*keys, "_i", "_j", F.col("_c").alias("_e"), F.col(item).alias("b"))
+    across = left.join(right, [*keys, "_i", "_j"]).where("a < b and (_i = _j or _c <> _e)")
+    return found.unionByName(across.select(*keys, "a", "b"))
