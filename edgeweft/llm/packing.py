@@ -26,7 +26,7 @@ CAPACITY = 4096
 BUCKETS, DIMENSIONS, BITS = 256, 4, 10
 #: Texts of one task, and of one run along the curve. Longer runs fill containers a little better and join texts that lie farther
 #: apart: of 10,000 texts runs of 200 need 0.12 % more containers than fit the tokens, with half of them inside 180 neighbours; one run none more, inside 4,700.
-TEXTS_PER_TASK, RUN = 10_000, 200
+TEXTS_PER_TASK, RUN = 25_000, 200
 #: Containers filled to this share are closed at the end of a run; what the others hold is packed again with the next run.
 CLOSED = 0.995
 
