@@ -97,10 +97,12 @@ def associations(baskets: DataFrame, min_count: int, min_ratio: float, chunk: in
     ``large`` times as many pairs of remaining items as the mean basket, or have more than ``chunk`` items, are split into two or more chunks of
     about ``chunk`` items at most, whose pairs are separate tasks' work; all others are whole.
     """
-    rows = materialize(baskets.select(F.coalesce("id", F.lit(0)).alias("id"), F.isnull("id").alias("none"), "vs"), "baskets")
-    inc = materialize(rows.select("id", "none", F.explode("vs").alias("v")).where(F.col("v").isNotNull()).distinct(), "inc")
-    counts = materialize(inc.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "items")
+    rows = materialize(baskets.select(F.coalesce("id", F.lit(0)).alias("id"), F.isnull("id").alias("none"), F.array_distinct("vs").alias("vs")), "baskets")
     n = rows.select("id", "none").distinct().count()
+    inc = rows.select("id", "none", F.explode("vs").alias("v")).where(F.col("v").isNotNull())
+    if n < rows.count():  # else every basket is one row, and its items are distinct already
+        inc = materialize(inc.distinct(), "inc")
+    counts = materialize(inc.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "items")
     useful = counts.where((F.col("n") >= min_count) & (F.col("n") * F.lit(float(min_ratio)) <= F.lit(n)))
     kept = materialize(skewed_lookup(inc, useful.select("v"), ["v"], "id", counts=useful.select("v", F.col("n").alias("_rows"))), "kept")
     pairs = _blocks(kept, chunk, large).mapInArrow(_count_pairs, "v1 bigint, v2 bigint, n bigint")
