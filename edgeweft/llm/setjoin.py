@@ -23,20 +23,28 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.skew import group_pairs
 from ..session import materialize, shuffle_width
 from .blocks import exchange, lists, mix, pack, unpack
 
-#: A token is frequent if it occurs in more sets than this, or than a 100,000th of all sets if that is more.
+#: A token is frequent if it occurs in more sets than this, or more often than a millionth of all elements if that is more: there are a million such tokens at most.
 FREQUENT = 256
+FREQUENT_TOKENS = 1_000_000
 #: How often a weak signature is refined.
 LEVELS = 3
 #: Signatures of one task.
 SIGNATURES_PER_TASK = 1_500_000
 #: Sets with more elements send no signatures.
 LONG = 512
-_KINDS = ["<u8", "<i8", "<u4", "<u2", "u1"]  # signature, id, parity sketch, size, whether an element was left out
+#: Sets that share a signature, from which on they are compared in pairs of blocks of this size, each pair a task's work.
+HOT_SETS = 2_000
+#: Bits of a signature within its partition. More sets share one by chance then, about one pair of a partition; all are verified.
+SIGNATURE_BITS = 40
+# low and high bits of the signature, the bytes of the id, parity sketch, twice the size and 1 if an element was left out
+_KINDS = ["<u4", "u1", *["u1"] * 8, "<u4", "<u2"]
 
 
 def _differ(a: np.ndarray, b: np.ndarray, t: Fraction) -> np.ndarray:
@@ -110,32 +118,88 @@ def _signatures(tokens: np.ndarray, rare: np.ndarray, plan: list[tuple[int, bool
     return np.concatenate(rows), np.concatenate(signatures), np.concatenate(left_out)
 
 
-def _candidates(signature: np.ndarray, ids: np.ndarray, sketch: np.ndarray, size: np.ndarray, without: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that share a signature and may differ little enough, once each."""
+def _packed(signature: np.ndarray, ids: np.ndarray, sketch: np.ndarray, size: np.ndarray, without: np.ndarray, parts: int) -> pa.RecordBatch:
+    rest = signature // np.uint64(parts) & np.uint64(2**SIGNATURE_BITS - 1)
+    planes = np.ascontiguousarray(ids.astype("<i8")).view(np.uint8).reshape(-1, 8).T
+    columns = [rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8), *planes, sketch, (size * 2 + without).astype(np.uint16)]
+    return pack((signature % np.uint64(parts)).astype(np.int64), parts, columns)
+
+
+def _unpacked(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    low, high, *planes, sketch, kind = unpack(bodies, _KINDS)
+    ids = np.ascontiguousarray(np.stack(planes, axis=1)).view("<i8").ravel() if len(low) else np.empty(0, np.int64)
+    return low.astype(np.int64) | high.astype(np.int64) << 32, ids, sketch, (kind >> 1).astype(np.int64), kind & 1
+
+
+def _near(x: np.ndarray, y: np.ndarray, ids: np.ndarray, sketch: np.ndarray, size: np.ndarray, without: np.ndarray, t: Fraction) -> np.ndarray:
+    """Ids of the pairs of rows x and y that may differ little enough, as an array of two rows."""
+    ok = ~((without[x] == 1) & (without[y] == 1)) & (ids[x] != ids[y])
+    x, y = x[ok], y[ok]
+    near = np.bitwise_count(sketch[x] ^ sketch[y]) <= _differ(size[x], size[y], t)
+    return np.stack([ids[x[near]], ids[y[near]]])
+
+
+def _candidates(signature: np.ndarray, ids: np.ndarray, sketch: np.ndarray, size: np.ndarray, without: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that share a signature and may differ little enough, once each; and the rows whose signature is hot, with how many share it."""
     order = np.argsort(signature, kind="stable")
-    signature = signature[order]
-    same = signature[1:] == signature[:-1]
-    multiple = np.r_[same, False] | np.r_[False, same]
-    at = order[multiple]
-    signature = signature[multiple]
-    ids, sketch, size, without = ids[at], sketch[at], size[at].astype(np.int64), without[at]
+    starts = np.flatnonzero(np.r_[True, np.diff(signature[order]) != 0]) if len(order) else np.empty(0, np.int64)
+    many = np.diff(np.r_[starts, len(order)])
+    held = np.empty(len(order), np.int64)
+    held[order] = np.repeat(many, many)
+    hot = np.where(held > HOT_SETS, held, 0)
+    at = order[(held[order] > 1) & (hot[order] == 0)]
+    signature, ids, sketch, size, without = signature[at], ids[at], sketch[at], size[at], without[at]
     live, gap, found = np.arange(len(at)), 1, []
     while len(live):
         live = live[live + gap < len(at)]
         live = live[signature[live] == signature[live + gap]]
-        other = live + gap
-        ok = ~((without[live] == 1) & (without[other] == 1)) & (ids[live] != ids[other])
-        x, y = live[ok], other[ok]
-        near = np.bitwise_count(sketch[x] ^ sketch[y]) <= _differ(size[x], size[y], t)
-        found.append(np.stack([ids[x[near]], ids[y[near]]]))
+        found.append(_near(live, live + gap, ids, sketch, size, without, t))
         gap += 1
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    both = np.concatenate(found, axis=1)
+    return *_distinct(found), hot
+
+
+def _distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
     pairs = np.unique(np.stack([both.min(axis=0), both.max(axis=0)]), axis=1) if both.size else both
     return pairs[0], pairs[1]
 
 
+_FOUND = "id1 bigint, id2 bigint, signature bigint, sketch bigint, size bigint, without boolean, sharing bigint"
+
+
+def _found(**columns: np.ndarray) -> pa.RecordBatch:
+    n = len(columns["id1"])
+    arrays = {name: pa.array(columns[name]) if name in columns else pa.nulls(n, pa.bool_() if name == "without" else pa.int64()) for name in (x.split()[0] for x in _FOUND.split(", "))}
+    return pa.RecordBatch.from_pydict(arrays)
+
+
+def _hot_pairs(rows: DataFrame, t: Fraction) -> DataFrame:
+    """(id1, id2) of the rows that share a hot signature: each pair of blocks of HOT_SETS sets is a cell of its own."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        signature, i, j, own, ids, sketch, size, without = (table.column(k).to_numpy() for k in ("signature", "i", "j", "own", "id1", "sketch", "size", "without"))
+        without = without.astype(np.uint8)
+        order = np.lexsort((j, i, signature))
+        change = (np.diff(signature[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
+        for mine in np.split(order, np.flatnonzero(change) + 1):
+            left = mine[own[mine] == i[mine[0]]]
+            right = mine[own[mine] == j[mine[0]]]
+            found = []
+            for k, x in enumerate(left):
+                y = right[k + 1 :] if i[mine[0]] == j[mine[0]] else right
+                found.append(_near(np.full(len(y), x), y, ids, sketch, size, without, t))
+            a, b = _distinct(found)
+            yield pa.RecordBatch.from_pydict({"id1": pa.array(a), "id2": pa.array(b)})
+
+    placed = rows.withColumn("k", F.ceil(F.col("sharing") / HOT_SETS).cast("int")).withColumn("own", F.pmod(F.xxhash64("id1"), F.col("k")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return cells.repartition("signature", "i", "j").mapInArrow(solve, "id1 bigint, id2 bigint")
+
+
 def _long_candidates(real: DataFrame, t: Fraction) -> DataFrame:
     """(id1, id2): pairs of which one set at least has more than LONG elements and that share one of their rarest tokens."""
     p, q = t.numerator, t.denominator
@@ -160,13 +224,13 @@ def similar_sets(reps: DataFrame, threshold: str, least: int = 1, frequent: int
     ``threshold`` is a decimal text, taken exactly. ``vs`` holds distinct values; sets with fewer than ``least``
     values, null and empty sets and null ids take no part. Equal sets must have been
     grouped before. id1 < id2; every pair is verified on the whole sets. ``reps`` is read
-    several times and should be a table. The list of frequent tokens goes to all tasks; it has at most 100,000 times the mean set size entries.
+    several times and should be a table. The list of frequent tokens goes to all tasks; it has at most FREQUENT_TOKENS entries.
     """
     t = Fraction(threshold)
     spark = reps.sparkSession
     real = reps.where(F.col("id").isNotNull() & (F.size("vs") >= max(1, least))).select("id", "vs")
-    total, elements, largest = real.agg(F.count(F.lit(1)), F.sum(F.size("vs")), F.max(F.size("vs"))).first()
-    bound = max(frequent, (total or 0) // 100_000)
+    elements, largest = real.agg(F.sum(F.size("vs")), F.max(F.size("vs"))).first()
+    bound = max(frequent, (elements or 0) // FREQUENT_TOKENS)
     tokens = real.select(F.explode("vs").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound)
     hot = np.sort(np.array([r[0] for r in tokens.select("v").toLocalIterator()], np.int64))
     shared = spark.sparkContext.broadcast(hot)
@@ -191,17 +255,23 @@ def similar_sets(reps: DataFrame, threshold: str, least: int = 1, frequent: int
                     rare = np.ones(v.shape, bool) if not len(frequent_tokens) else frequent_tokens[np.minimum(at, len(frequent_tokens) - 1)] != v
                     sketch = np.bitwise_xor.reduce(np.uint32(1) << (h >> np.uint64(59)).astype(np.uint32), axis=1)
                     row, signature, without = _signatures(h, rare, plan)
-                    out.append((signature, ids[mine][row], sketch[row], np.full(len(row), size, np.uint16), without.astype(np.uint8)))
+                    out.append((signature, ids[mine][row], sketch[row], np.full(len(row), size, np.int64), without))
             if out:
-                columns = [np.concatenate(x) for x in zip(*out)]
-                yield pack((columns[0] % np.uint64(parts)).astype(np.int64), parts, columns)
+                yield _packed(*(np.concatenate(x) for x in zip(*out)), parts)
 
     def receive(bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
-        id1, id2 = _candidates(*unpack(bodies, _KINDS), t)
-        yield pa.RecordBatch.from_pydict({"id1": pa.array(id1), "id2": pa.array(id2)})
+        signature, ids, sketch, size, without = _unpacked(bodies)
+        id1, id2, sharing = _candidates(signature, ids, sketch, size, without, t)
+        yield _found(id1=id1, id2=id2)
+        if (hot := sharing > 0).any():
+            key = signature[hot] | TaskContext.get().partitionId() << SIGNATURE_BITS
+            yield _found(id1=ids[hot], signature=key, sketch=sketch[hot].astype(np.int64), size=size[hot], without=without[hot] == 1, sharing=sharing[hot])
 
     short = real if (largest or 0) <= LONG else real.where(F.size("vs") <= LONG)
-    pairs = exchange(short, send, parts, receive, "id1 bigint, id2 bigint")
+    found = materialize(exchange(short, send, parts, receive, _FOUND), "candidates")
+    pairs, hot_rows = found.where("signature is null").select("id1", "id2"), found.where("signature is not null")
+    if not hot_rows.isEmpty():
+        pairs = pairs.unionByName(_hot_pairs(hot_rows, t))
     if (largest or 0) > LONG:
         pairs = pairs.unionByName(_long_candidates(real, t))
     pairs = pairs.distinct()
@@ -234,6 +304,7 @@ def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
     m1 = members.select(F.col("id").alias("a"), F.col("rep").alias("id1"))
     m2 = members.select(F.col("id").alias("b"), F.col("rep").alias("id2"))
     across = pairs.join(m1, "id1").join(m2, "id2").select("a", "b")
-    several = members.where(F.col("copies") > 1).select("id", "rep")
-    within = several.select(F.col("id").alias("a"), "rep").join(several.select(F.col("id").alias("b"), "rep"), "rep").where("a < b").select("a", "b")
+    several = members.where(F.col("copies") > 1)
+    counts = several.groupBy("rep").agg(F.count(F.lit(1)).alias("_rows"))
+    within = group_pairs(several.select("id", "rep"), ["rep"], "id", counts=counts).select("a", "b")
     return across.unionByName(within).select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"))
