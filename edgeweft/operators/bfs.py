@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import materialize, shuffle_width
+from ..session import discard, materialize, shuffle_width
 from .components import connect
+from .skew import skewed_lookup
 
 #: A search ends by itself when a level is empty; this only guards against broken input.
 MAX_LEVELS = 10_000
@@ -28,14 +29,21 @@ SMALL_LINKS = 50_000
 LINKS_PER_TASK = 500_000
 
 
-def tagged(adj: DataFrame) -> DataFrame:
-    """``adj(s, e, nb)`` with ``cc``, the component of the link, and ``links``, how many it has."""
+def tagged(adj: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """``adj(s, e, nb)`` with ``cc``, the component of the link, and ``links``, how many it has.
+
+    ``linked(s, e, cc)`` may give the components where they are known already.
+    """
     if "links" in adj.columns:
         return adj
-    found = materialize(connect(adj), "found")
-    placed = adj.select("s", "e", "nb").join(found, ["s", "e"])
-    counts = placed.groupBy("s", "cc").agg(F.count(F.lit(1)).alias("links"))
-    return materialize(placed.join(counts, ["s", "cc"]).select("s", "e", "nb", "cc", "links"), "tagged")
+    found = materialize(connect(adj), "found") if linked is None else linked
+    placed = materialize(adj.select("s", "e", "nb").join(found.select("s", "e", "cc"), ["s", "e"]), "placed")
+    counts = materialize(placed.groupBy("s", "cc").agg(F.count(F.lit(1)).alias("links")), "links")
+    # a giant component is one key: its rows are spread
+    both = skewed_lookup(placed, counts, ["s", "cc"], "e", counts=counts.select("s", "cc", F.col("links").alias("_rows")))
+    out = materialize(both.select("s", "e", "nb", "cc", "links"), "tagged")
+    discard(placed)
+    return out
 
 
 def _near(nodes: np.ndarray, others: np.ndarray) -> dict[int, list[int]]:
@@ -182,14 +190,16 @@ def _level_labelled(adj: DataFrame, sources: DataFrame, labels: DataFrame, wante
 def nearest_labelled(adj: DataFrame, sources: DataFrame, labels: DataFrame, wanted: DataFrame, max_reached: int) -> DataFrame:
     """Labelled nodes around each source: (s, src, e, dist), without the source.
 
-    ``labels(e, label)`` are compared without case; ``wanted(src, label)`` says what each source looks for. In large
-    components a source is followed until it has reached at least ``max_reached`` such nodes; a level is always
-    finished, so ties are complete. In small ones all are given.
+    ``labels(e, label)`` are compared without case; ``wanted(src, label)`` says what each source looks for. A source is followed until
+    it has reached at least ``max_reached`` such nodes; a level is always finished, so ties are complete.
     """
     adj, few, many = _split(adj, sources.select("s", "src"))
     marked = labels.select("e", F.lower("label").alias("label")).distinct()
     looks_for = wanted.select("src", F.lower("label").alias("label")).distinct()
     found = _small_distances(adj, few, None, None).where("dist > 0").join(marked, "e").join(looks_for, ["src", "label"]).select("s", "src", "e", "dist").distinct()
+    # levels that begin with fewer than max_reached nodes
+    before = F.count(F.lit(1)).over(Window.partitionBy("s", "src").orderBy("dist").rangeBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("before", before).where(F.col("before") < max_reached).drop("before")
     if many is None:
         return found
     return found.union(_level_labelled(adj.where(F.col("links") > SMALL_LINKS).select("s", "e", "nb"), many, labels, wanted, max_reached))

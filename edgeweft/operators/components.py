@@ -1,8 +1,9 @@
-"""s-connected components for all s at once, by alternating star contraction on DataFrames."""
+"""s-connected components for all s, from the largest s down, by alternating star contraction on DataFrames."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,19 @@ MAX_ROUNDS = 100
 ONE_TASK_EDGES = 1_000_000
 
 
+def _hook(up: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Roots after joining all x[i] with y[i]: larger roots are hooked below smaller ones and ways up are halved."""
+    while True:
+        hi, lo = np.maximum(up[x], up[y]), np.minimum(up[x], up[y])
+        if (hi == lo).all():
+            return up
+        np.minimum.at(up, hi, lo)
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+
+
 def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Smallest node of the component of each node, by hooking larger roots below smaller ones and halving the ways up."""
+    """Smallest node of the component of each node, for each s by itself."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -26,18 +38,26 @@ def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for level in np.unique(s):
         mine = s == level
         nodes, at = np.unique(np.concatenate([a[mine], b[mine]]), return_inverse=True)
-        x, y = at[: mine.sum()], at[mine.sum() :]
-        up = np.arange(len(nodes))
-        while True:
-            hi, lo = np.maximum(up[x], up[y]), np.minimum(up[x], up[y])
-            if (hi == lo).all():
-                break
-            np.minimum.at(up, hi, lo)
-            while not np.array_equal(up, up[up]):
-                up = up[up]
+        up = _hook(np.arange(len(nodes)), at[: mine.sum()], at[mine.sum() :])
         yield pa.RecordBatch.from_pydict({"s": np.full(len(nodes), level, np.int32), "e": nodes, "cc": nodes[up]})
 
 
+def _levels_in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same where a link of level s also holds for all smaller levels: from the largest level down, each link is joined once."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    s, a, b = (pa.Table.from_batches(held).column(k).to_numpy() for k in range(3))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up, linked = np.arange(len(nodes)), np.zeros(len(nodes), bool)
+    for level in np.unique(s)[::-1]:
+        mine = s == level
+        linked[x[mine]] = linked[y[mine]] = True
+        up = _hook(up, x[mine], y[mine])
+        yield pa.RecordBatch.from_pydict({"s": np.full(linked.sum(), level, np.int32), "e": nodes[linked], "cc": nodes[up[linked]]})
+
+
 def connect(edges: DataFrame, one_task_edges: int | None = None) -> DataFrame:
     """(s, e, cc) of all nodes of ``edges(s, e, nb)``: cc is the smallest node of the component.
 
@@ -80,12 +100,54 @@ def connect(edges: DataFrame, one_task_edges: int | None = None) -> DataFrame:
     return pairs.select("s", F.col("a").alias("e"), F.col("b").alias("cc")).union(roots)
 
 
-def s_components(inc: DataFrame, ov: DataFrame, s_values: list[int]) -> DataFrame:
+def connect_levels(ov: DataFrame, s_values: list[int], one_task_edges: int | None = None) -> DataFrame:
+    """(s, e, cc) of all nodes with an overlap of at least s in ``ov(e1, e2, w)``, for all given s.
+
+    A pair that overlaps in s vertices also does in fewer. So the largest s comes first, and what it
+    connects is one node for the next: every pair is looked at once, at the largest s it reaches, and only between components.
+    Up to ``one_task_edges`` pairs are one task's work.
+    """
+    values = sorted(s_values)
+    level = F.element_at(F.filter(F.array(*[F.lit(int(s)) for s in values]), lambda s: s <= F.col("w")), -1)
+    pairs = materialize(ov.where(F.col("w") >= values[0]).select(level.cast("int").alias("s"), F.col("e1").alias("a"), F.col("e2").alias("b")), "pairs")
+    if pairs.count() <= (ONE_TASK_EDGES if one_task_edges is None else one_task_edges):
+        found = materialize(pairs.coalesce(1).mapInArrow(_levels_in_one_task, "s int, e bigint, cc bigint"), "found")
+        # a level without pairs of its own has the components of the next larger one
+        return _with_empty_levels(found, values)
+    known, out = None, []
+    for s in reversed(values):
+        new = pairs.where(F.col("s") == s).select("a", "b")
+        if known is not None:
+            for end in ("a", "b"):
+                new = new.join(known.select(F.col("e").alias(end), F.col("cc").alias("_cc")), end, "left").withColumn(end, F.coalesce("_cc", end)).drop("_cc")
+        joined = materialize(connect(new.select(F.lit(s).alias("s"), F.col("a").alias("e"), F.col("b").alias("nb")), one_task_edges).select("e", "cc"), "joined")
+        if known is None:
+            known = joined
+        else:
+            moved = known.join(joined.select(F.col("e").alias("cc"), F.col("cc").alias("_to")), "cc", "left").select("e", F.coalesce("_to", "cc").alias("cc"))
+            fresh = joined.join(known.select(F.col("cc").alias("e")).distinct(), "e", "left_anti")
+            known = materialize(moved.union(fresh.select("e", "cc")), "known")
+        out.append(known.select(F.lit(s).cast("int").alias("s"), "e", "cc"))
+    discard(pairs)
+    return reduce(DataFrame.union, out)
+
+
+def _with_empty_levels(found: DataFrame, values: list[int]) -> DataFrame:
+    have = sorted(r[0] for r in found.select("s").distinct().collect())
+    for s in values:
+        larger = [x for x in have if x > s]
+        if s not in have and larger:
+            found = found.union(found.where(F.col("s") == larger[0]).select(F.lit(s).cast("int").alias("s"), "e", "cc"))
+    return found
+
+
+def s_components(inc: DataFrame, ov: DataFrame, s_values: list[int], linked: DataFrame | None = None) -> DataFrame:
     """(s, e, cc): the s-component of every hyperedge with at least s vertices, for all given s.
 
-    cc is the smallest hyperedge of the component; a hyperedge without s-neighbours is its own.
+    cc is the smallest hyperedge of the component; a hyperedge without s-neighbours is its own. ``linked`` may give the components of
+    :func:`connect_levels`.
     """
-    return with_singletons(inc, connect(overlap.adjacency(ov, s_values)), s_values)
+    return with_singletons(inc, connect_levels(ov, s_values) if linked is None else linked, s_values)
 
 
 def with_singletons(inc: DataFrame, linked: DataFrame, s_values: list[int]) -> DataFrame:

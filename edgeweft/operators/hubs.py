@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
 from . import bfs
+from .landmarks import numbered
 
 
 def rank_by_degree(adj: DataFrame, larger_id_first: bool = False) -> DataFrame:
-    """(s, e, rank): nodes of each s by descending degree, ties by the smaller id, or the larger."""
-    degree = adj.groupBy("s", "e").agg(F.count(F.lit(1)).alias("degree"))
-    tie = F.col("e").desc() if larger_id_first else F.col("e").asc()
-    return degree.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy(F.col("degree").desc(), tie))).select("s", "e", "rank")
+    """(s, e, rank): nodes of each s by descending degree, ties by the smaller id, or the larger. Ranks are places in a range sort."""
+    tie = -F.col("e") if larger_id_first else F.col("e")
+    degree = adj.groupBy("s", "e").agg((-F.count(F.lit(1))).alias("d")).withColumn("t", tie)
+    return numbered(degree, "s", ["d", "t"]).select("s", "e", F.col("number").alias("rank"))
 
 
 def without_nodes(adj: DataFrame, nodes: DataFrame) -> DataFrame:

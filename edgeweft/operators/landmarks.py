@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import materialize, shuffle_width
 from . import bfs, sampling
 from .ranking import consensus
+from .skew import skewed_lookup
 
 
 def running_total(rows: DataFrame, order: list[str], value: str, rows_per_task: int = 2_000_000) -> DataFrame:
@@ -25,6 +26,14 @@ def running_total(rows: DataFrame, order: list[str], value: str, rows_per_task:
     return sorted_rows.withColumn("_in", inside).join(F.broadcast(before), "_pid").withColumn("upto", F.col("_in") + F.col("_before")).drop("_pid", "_in", "_before")
 
 
+def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows with ``number``, their place from 1 in a total order within each of a few values of ``key``, over many tasks."""
+    summed = materialize(running_total(rows.withColumn("_one", F.lit(1.0)), [key, *order], "_one"), "numbered")
+    # one row for each key, of which there are as many as values of s
+    first = summed.groupBy(key).agg(F.min("upto").alias("_first"))
+    return summed.join(F.broadcast(first), key).withColumn("number", (F.col("upto") - F.col("_first") + 1).cast("int")).drop("_one", "upto", "_first")
+
+
 def importance(sizes: DataFrame, alpha: float, beta: float) -> DataFrame:
     """``sizes(s, cc, size, n_vertices)`` with p = alpha size/Σsize + beta s/Σs + (1 - alpha - beta) n_vertices/Σn_vertices."""
     if alpha + beta > 1 + 1e-9:
@@ -117,8 +126,22 @@ def _quota(components: DataFrame, assigned: DataFrame) -> DataFrame:
     return components.join(assigned.select("s", "cc", "n"), ["s", "cc"])
 
 
-def by_rank(members: DataFrame, order: list[Column]) -> DataFrame:
-    """(s, cc, landmark): the first n members of each component in the given order."""
+#: Members of a component that one task ranks.
+RANKED_PER_TASK = 1_000_000
+
+
+def by_rank(members: DataFrame, order: list[Column], per_task: int = RANKED_PER_TASK) -> DataFrame:
+    """(s, cc, landmark): the first n members of each component in the given order.
+
+    Components with more than ``per_task`` members are salted: each salt keeps its first n, which are then ranked once more.
+    """
+    sizes = members.groupBy("s", "cc").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > per_task)
+    large = materialize(sizes.select("s", "cc", F.ceil(F.col("_m") / per_task).cast("int").alias("_salts"), F.col("_m").alias("_rows")), "large")
+    if not large.isEmpty():
+        salted = skewed_lookup(members, large.drop("_rows"), ["s", "cc"], "e", how="left", counts=large.select("s", "cc", "_rows"))
+        salt = F.coalesce(F.pmod(F.xxhash64("e", F.lit(7)), F.col("_salts")), F.lit(0))
+        first = F.row_number().over(Window.partitionBy("s", "cc", salt).orderBy(*order))
+        members = salted.withColumn("_first", first).where("_first <= n").drop("_first", "_salts")
     rank = F.row_number().over(Window.partitionBy("s", "cc").orderBy(*order))
     return members.withColumn("rank", rank).where("rank <= n").select("s", "cc", F.col("e").alias("landmark"))
 

@@ -67,8 +67,9 @@ def build(
     if strategy not in lm.STRATEGIES:
         raise ValueError(f"strategy must be one of {sorted(lm.STRATEGIES)}, not {strategy}")
     ov = materialize(overlap.overlaps(inc, min(s_values)), "overlaps")
-    adj = materialize(overlap.adjacency(ov, s_values), "adjacency")
-    members = materialize(cc_ops.s_components(inc, ov, s_values), "components")
+    linked = materialize(cc_ops.connect_levels(ov, s_values), "linked")
+    adj = bfs.tagged(overlap.adjacency(ov, s_values), linked)
+    members = materialize(cc_ops.s_components(inc, ov, s_values, linked), "components")
     sizes = materialize(cc_ops.component_sizes(members, inc), "sizes")
     budget = budget_per_edge * inc.select("e").distinct().count()
 
@@ -96,13 +97,13 @@ def build_baseline(inc: DataFrame, s_values: list[int], budget_per_edge: int, se
     Membership is by size alone: every hyperedge is a member of one component per s.
     """
     ov = materialize(overlap.overlaps(inc, min(s_values)), "overlaps")
-    adj = materialize(overlap.adjacency(ov, s_values), "adjacency")
+    adj = bfs.tagged(overlap.adjacency(ov, s_values), materialize(cc_ops.connect_levels(ov, s_values), "linked"))
     each = F.explode(F.filter(F.array(*[F.lit(int(s)) for s in s_values]), lambda s: s <= F.col("size")))
     members = materialize(overlap.edge_sizes(inc).select(each.alias("s"), "e", F.lit(0).cast("bigint").alias("cc")), "members")
     sizes = materialize(cc_ops.component_sizes(members, inc), "sizes")
     budget = budget_per_edge * inc.select("e").distinct().count()
-    ranked = lm.with_degree(members, adj).withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy(F.col("degree").desc(), "e")))
-    ranked = materialize(ranked.select("s", "e", "r"), "ranked")
+    order = lm.with_degree(members, adj).select("s", "e", (-F.col("degree")).alias("d"))
+    ranked = materialize(lm.numbered(order, "s", ["d", "e"]).select("s", "e", F.col("number").alias("r")), "ranked")
     batch, done, labels, used = 1, 0, None, 0
     while used < budget:
         new = ranked.where((F.col("r") > done) & (F.col("r") <= done + batch))

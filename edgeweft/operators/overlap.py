@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
+from .skew import group_pairs
 
 
 def incidence(rows: DataFrame, e: str, v: str) -> DataFrame:
@@ -62,44 +63,77 @@ def min_size_counts(inc: DataFrame, max_s: int) -> DataFrame:
 
 #: A vertex is a hub if it has this many times the mean number of hyperedges.
 HUB = 8
+#: Hyperedges are joined on pairs of vertices if these are fewer than the pairs of hyperedges with a common vertex by this factor.
+PAIRS_PAY = 3
+#: Hyperedges of a vertex from which on they are joined in pairs of blocks.
+BLOCK_EDGES = 20_000
 
 
-def _hubs_decide(degrees: DataFrame) -> bool:
-    """Whether hubs make at least half of all pairs that share a vertex."""
-    mean = degrees.agg(F.avg("n")).first()[0]
-    if mean is None:
-        return False
+def _method(inc: DataFrame, degrees: DataFrame, min_overlap: int) -> tuple[str, int]:
+    """How overlaps of at least ``min_overlap`` are found, from sums over vertices and hyperedges; and the largest degree."""
     pairs = F.col("n") * (F.col("n") - 1.0)
-    total, hubs = degrees.agg(F.sum(pairs), F.sum(F.when(F.col("n") >= HUB * mean, pairs).otherwise(0.0))).first()
-    return 2 * hubs >= total > 0
+    mean, most, total = degrees.agg(F.avg("n"), F.max("n"), F.sum(pairs)).first()
+    if mean is None or min_overlap <= 1:
+        return "vertices", most or 0
+    within = inc.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_overlap).agg(F.sum(pairs)).first()[0] or 0
+    if PAIRS_PAY * within <= total:
+        return "pairs", most
+    hubs = degrees.agg(F.sum(F.when(F.col("n") >= HUB * mean, pairs).otherwise(0.0))).first()[0]
+    return "prefix" if 2 * hubs >= total > 0 else "vertices", most
 
 
-def overlaps(inc: DataFrame, min_overlap: int = 1, by_prefix: bool | None = None) -> DataFrame:
+def overlaps(inc: DataFrame, min_overlap: int = 1, by_prefix: bool | None = None, method: str | None = None) -> DataFrame:
     """(e1, e2, w), e1 < e2: the number of common vertices of all pairs that share at least ``min_overlap``.
 
-    For min_overlap = 1, and where hubs don't matter, hyperedges that are large enough are joined on their vertices and
-    counted. For min_overlap = s > 1 and hubs with half of all pairs (or as ``by_prefix`` says) only pairs are looked at that share one of the |e| - s + 1 least frequent vertices of
-    both, in one global order: a pair with s common vertices can't have all of them among the s - 1 most
-    frequent. So the most frequent vertices, whose pairs are the most, take part in the join only where
-    they decide. The overlap of these pairs is counted on the whole sets.
+    There are three ways with the same result; which is taken follows from counts, or is named by ``method`` (or ``by_prefix``):
+
+    * ``vertices``: hyperedges that are large enough are joined on their vertices and counted, always for min_overlap = 1.
+    * ``pairs``, for small hyperedges over frequent vertices: they are joined on pairs of vertices. Two with w common vertices
+      share w (w - 1) / 2 pairs, so counting these gives w, and pairs with one common vertex never meet.
+    * ``prefix``, where hubs make half of all pairs: for min_overlap = s only pairs are looked at that share one of the |e| - s + 1
+      least frequent vertices of both, in one global order: a pair with s common vertices can't have all of them among the s - 1 most
+      frequent. The overlap of these pairs is counted on the whole sets.
+
+    Vertices and pairs with more than BLOCK_EDGES hyperedges are joined in pairs of blocks, over many tasks.
     """
     degrees = inc.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    if by_prefix is None:
-        by_prefix = min_overlap > 1 and _hubs_decide(degrees)
-    if min_overlap <= 1 or not by_prefix:
-        able = inc.join(edges_of_min_size(inc, min_overlap).select("e"), "e") if min_overlap > 1 else inc
-        a, b = able.select(F.col("e").alias("e1"), "v"), able.select(F.col("e").alias("e2"), "v")
-        return a.join(b, "v").where("e1 < e2").groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= min_overlap)
+    if method is None and by_prefix is not None:
+        method = "prefix" if by_prefix and min_overlap > 1 else "vertices"
+    if method is None:
+        degrees = materialize(degrees, "degrees")
+        method, most = _method(inc, degrees, min_overlap)
+    else:
+        most = degrees.agg(F.max("n")).first()[0] or 0
+    able = inc.join(edges_of_min_size(inc, min_overlap).select("e"), "e").select("e", "v") if min_overlap > 1 else inc.select("e", "v")
+    if method == "vertices":
+        met = _meetings(able, ["v"], most, degrees.select("v", F.col("n").alias("_rows")))
+        return met.groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= min_overlap)
+    if method == "pairs":
+        if min_overlap < 2:
+            raise ValueError("pairs of vertices only find overlaps of two or more")
+        within = group_pairs(able, ["e"], "v").select("e", F.col("a").alias("v1"), F.col("b").alias("v2"))
+        met = _meetings(within, ["v1", "v2"], most, None)
+        w = ((F.lit(1) + F.sqrt(F.lit(1) + F.lit(8) * F.count(F.lit(1)))) / 2).cast("bigint")
+        return met.groupBy("e1", "e2").agg(w.alias("w")).where(F.col("w") >= min_overlap)
+    if method != "prefix":
+        raise ValueError(f"no method {method}")
     ranked = inc.join(degrees, "v").groupBy("e").agg(F.sort_array(F.collect_list(F.struct("n", "v"))).alias("o"))
     sets = materialize(ranked.where(F.size("o") >= min_overlap).select("e", F.col("o.v").alias("o")), "sets")
     prefix = sets.select("e", F.explode(F.slice("o", F.lit(1), F.size("o") - min_overlap + 1)).alias("v"))
-    a, b = prefix.select(F.col("e").alias("e1"), "v"), prefix.select(F.col("e").alias("e2"), "v")
-    pairs = a.join(b, "v").where("e1 < e2").select("e1", "e2").distinct()
+    pairs = _meetings(prefix, ["v"], most, None).select("e1", "e2").distinct()
     x, y = sets.select(F.col("e").alias("e1"), F.col("o").alias("x")), sets.select(F.col("e").alias("e2"), F.col("o").alias("y"))
     both = pairs.join(x, "e1").join(y, "e2").select("e1", "e2", F.size(F.array_intersect("x", "y")).cast("bigint").alias("w"))
     return both.where(F.col("w") >= min_overlap)
 
 
+def _meetings(rows: DataFrame, keys: list[str], most: int, counts: DataFrame | None) -> DataFrame:
+    """(e1, e2) once for each key that hyperedges e1 < e2 share; none has more than ``most`` of them."""
+    if most > BLOCK_EDGES:
+        return group_pairs(rows, keys, "e", BLOCK_EDGES, counts).select(F.col("a").alias("e1"), F.col("b").alias("e2"))
+    a, b = rows.withColumnRenamed("e", "e1"), rows.withColumnRenamed("e", "e2")
+    return a.join(b, keys).where("e1 < e2").select("e1", "e2")
+
+
 def overlap_of(pairs: DataFrame, ov: DataFrame) -> DataFrame:
     """``pairs(p, q)`` with w, -1 where they share nothing; the order within a pair doesn't matter."""
     known = ov.select(F.col("e1").alias("lo"), F.col("e2").alias("hi"), "w")

@@ -58,12 +58,15 @@ class Graph:
 
     @cached_property
     def adj(self) -> DataFrame:
-        return bfs.tagged(materialize(overlap.adjacency(self.ov, list(self.s_values)), "adj"))
+        return bfs.tagged(overlap.adjacency(self.ov, list(self.s_values)), self.linked)
+
+    @cached_property
+    def linked(self) -> DataFrame:
+        return materialize(components.connect_levels(self.ov, list(self.s_values)), "linked")
 
     @cached_property
     def components(self) -> DataFrame:
-        linked = self.adj.select("s", "e", "cc").union(self.adj.select("s", F.col("nb").alias("e"), "cc")).distinct()
-        return materialize(components.with_singletons(self.inc, linked, list(self.s_values)), "components")
+        return materialize(components.s_components(self.inc, self.ov, list(self.s_values), self.linked), "components")
 
     @cached_property
     def sizes(self) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import defaultdict, deque
 
 import pytest
 
-from edgeweft.operators import bfs, components, exact, hubs, landmarks, metrics, oracle, overlap, ranking, sampling
+from edgeweft.operators import bfs, components, exact, hubs, landmarks, metrics, oracle, overlap, ranking, sampling, skew
 from edgeweft.plans import contract
 from pyspark.sql import functions as F
 
@@ -38,6 +38,26 @@ def test_overlaps_against_brute_force(spark, least, by_prefix):
     assert rows(overlap.overlaps(inc, least, by_prefix), "e1", "e2", "w") == sorted(want)
 
 
+@pytest.mark.parametrize("least,method", [(1, "vertices"), (2, "pairs"), (3, "pairs"), (3, "prefix")])
+def test_overlaps_of_hubs_in_blocks(spark, monkeypatch, least, method):
+    # a vertex holds a third of all incidences and is joined in blocks
+    monkeypatch.setattr(overlap, "BLOCK_EDGES", 6)
+    rng = random.Random(least)
+    sets = {e: {0, *(rng.choice([1, rng.randrange(12)]) for _ in range(3))} for e in range(50)}
+    inc = spark.createDataFrame([(e, v) for e, vs in sets.items() for v in vs], "e bigint, v bigint")
+    want = sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least)
+    assert rows(overlap.overlaps(inc, least, method=method), "e1", "e2", "w") == want
+    assert overlap.overlaps(inc.where("false"), least, method=method).count() == 0
+
+
+def test_group_pairs(spark):
+    data = [(k, x) for k in (1, 2) for x in range(25 if k == 1 else 4)] + [(None, 1), (None, 2), (3, None)]
+    df = spark.createDataFrame(data, "k int, x bigint")
+    want = sorted((k, a, b) for k, n in ((1, 25), (2, 4)) for a in range(n) for b in range(a + 1, n))
+    for block in (3, 10, 1000):
+        assert rows(skew.group_pairs(df, ["k"], "x", block), "k", "a", "b") == want
+
+
 def test_counts_and_sizes(small, ov):
     assert overlap.graph_counts(small).first() == (8, 11, 20, 3)
     assert rows(overlap.s_degrees(small, ov, 2), "e", "degree") == [(0, 1), (1, 2), (2, 2), (3, 1), (4, 0), (5, 1), (6, 1)]
@@ -61,6 +81,16 @@ def test_components(small, ov):
     assert got == {(1, 0): {0, 1, 2, 3, 4}, (1, 5): {5, 6}, (1, 7): {7}, (2, 0): {0, 1, 2, 3}, (2, 4): {4}, (2, 5): {5, 6}, (3, 0): {0}, (3, 1): {1}, (3, 2): {2}, (3, 3): {3}, (3, 6): {6}}
 
 
+@pytest.mark.parametrize("one_task_edges", [0, 10**6])
+def test_components_from_the_largest_s_down(spark, one_task_edges):
+    rng = random.Random(5)
+    pairs = {(a, b): rng.choice([1, 2, 3, 5]) for a, b in (sorted(rng.sample(range(60), 2)) for _ in range(70))}
+    ov = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "e1 bigint, e2 bigint, w bigint")
+    each = [rows(components.connect(overlap.adjacency(ov, [s])), "s", "e", "cc") for s in (1, 2, 3, 4, 5)]
+    assert rows(components.connect_levels(ov, [1, 2, 3, 4, 5], one_task_edges), "s", "e", "cc") == sorted(x for some in each for x in some)
+    assert components.connect_levels(ov.where("false"), [1, 2], one_task_edges).count() == 0
+
+
 def test_components_of_chains(spark):
     order = list(range(200))
     random.Random(3).shuffle(order)
@@ -80,8 +110,9 @@ def test_levels_give_what_components_give(adj, spark):
     assert rows(bfs._level_paths(adj, pairs, True), "path") == [([0, 1, 3],), ([0, 2, 3],)]
     labels = spark.createDataFrame([(3, "Red"), (4, "RED"), (1, "x")], "e bigint, label string")
     wanted = spark.createDataFrame([(0, "red")], "src bigint, label string")
-    for search in (bfs.nearest_labelled, bfs._level_labelled):
-        assert (1, 0, 3, 2) in rows(search(adj, sources, labels, wanted, 1), "s", "src", "e", "dist")
+    for n in (1, 2, 3):
+        near, level = (rows(search(adj, sources, labels, wanted, n), "s", "src", "e", "dist") for search in (bfs.nearest_labelled, bfs._level_labelled))
+        assert near == level and (1, 0, 3, 2) in near and ((1, 0, 4, 3) in near) == (n > 1)
 
 
 def test_bfs(adj, spark):
@@ -197,6 +228,14 @@ def test_assignment_keeps_budget(spark, assignment):
         landmarks.importance(sizes, 0.8, 0.5)
 
 
+def test_ranks_over_many_tasks(spark):
+    members = spark.range(500).selectExpr("1 as s", "if(id < 400, 0L, 400L) as cc", "id as e", "if(id < 400, 7, 3) as n")
+    order = [F.pmod(F.col("e") * 37, F.lit(101)).desc(), F.col("e")]
+    assert rows(landmarks.by_rank(members, order, 40), "cc", "landmark") == rows(landmarks.by_rank(members, order), "cc", "landmark")
+    got = rows(landmarks.numbered(members, "cc", ["e"]), "cc", "e", "number")
+    assert got == [(0, e, e + 1) for e in range(400)] + [(400, e, e - 399) for e in range(400, 500)]
+
+
 def test_running_total(spark):
     df = spark.createDataFrame([(i, float(i % 7)) for i in range(500)], "k bigint, x double")
     got = landmarks.running_total(df, ["k"], "x", rows_per_task=60)
