@@ -81,16 +81,20 @@ def vertex_closeness(adj: DataFrame, inc: DataFrame, vertices: DataFrame, s: int
     return vertices.select("v").distinct().join(best, "v", "left").select(F.lit(s).alias("s"), "v", F.coalesce("closeness", F.lit(0.0)).alias("closeness"))
 
 
+def ranked_nearest(found: DataFrame, k: int) -> DataFrame:
+    """(s, q, rank, e, dist): the first k of ``found(s, src, e, dist)`` for each source, ties by the smaller id."""
+    rank = F.row_number().over(Window.partitionBy("s", "src").orderBy("dist", "e"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("s", F.col("src").alias("q"), "rank", "e", "dist")
+
+
 def nearest(adj: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(s, q, rank, e, dist): the k nearest hyperedges of ``queries(s, q)``, ties by the smaller id, without q itself."""
     found = bfs.distances(adj, queries.select("s", F.col("q").alias("src")), max_reached=k).where("dist > 0")
-    rank = F.row_number().over(Window.partitionBy("s", "src").orderBy("dist", "e"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("s", F.col("src").alias("q"), "rank", "e", "dist")
+    return ranked_nearest(found, k)
 
 
 def nearest_with_label(adj: DataFrame, queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """(s, q, rank, e, dist): the k nearest hyperedges with the label of q."""
     wanted = queries.select(F.col("q").alias("e")).distinct().join(labels, "e").select(F.col("e").alias("src"), "label")
     found = bfs.nearest_labelled(adj, queries.select("s", F.col("q").alias("src")), labels, wanted, k)
-    rank = F.row_number().over(Window.partitionBy("s", "src").orderBy("dist", "e"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("s", F.col("src").alias("q"), "rank", "e", "dist")
+    return ranked_nearest(found, k)

@@ -126,6 +126,11 @@ def overlaps(inc: DataFrame, min_overlap: int = 1, by_prefix: bool | None = None
     return both.where(F.col("w") >= min_overlap)
 
 
+def met_in_blocks(inc: DataFrame, block_edges: int) -> DataFrame:
+    """(e1, e2) once for each vertex that hyperedges e1 < e2 share; vertices with more than ``block_edges`` of them are joined in pairs of blocks."""
+    return group_pairs(inc.select("e", "v"), ["v"], "e", max(1, block_edges)).select(F.col("a").alias("e1"), F.col("b").alias("e2"))
+
+
 def _meetings(rows: DataFrame, keys: list[str], most: int, counts: DataFrame | None) -> DataFrame:
     """(e1, e2) once for each key that hyperedges e1 < e2 share; none has more than ``most`` of them."""
     if most > BLOCK_EDGES:

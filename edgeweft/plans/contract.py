@@ -120,8 +120,8 @@ def _(spark, d):
     return overlap.s_neighbours(g.ov, g.inc.where("e % 20 = 0").select("e"), 2)
 
 
-@query("h1_s_neighbours_among", f"""WITH {graph_sql()} SELECT adj.e, nb, w FROM adj JOIN ov ON e1 = least(adj.e, nb) AND e2 = greatest(adj.e, nb)
-    WHERE s = 2 AND adj.e % 20 = 0 AND nb IN (SELECT e FROM sz WHERE size >= 5)""")
+@query("h1_s_neighbours_among", f"""WITH {graph_sql()}, nbs AS (SELECT e1 AS e, e2 AS nb, w FROM ov WHERE w >= 2 UNION ALL SELECT e2, e1, w FROM ov WHERE w >= 2)
+    SELECT nbs.e, nb, w FROM nbs JOIN sz ON sz.e = nb AND size >= 5 WHERE nbs.e % 20 = 0""")
 def _(spark, d):
     g = Graph.of(spark, d)
     return overlap.s_neighbours(g.ov, g.inc.where("e % 20 = 0").select("e"), 2, overlap.edges_of_min_size(g.inc, 5))

@@ -82,6 +82,18 @@ class Graph:
         chosen = materialize(landmarks.select_degree(self.components, self.assigned, self.adj), "landmarks")
         return oracle.Oracle(self.components, self.sizes, chosen, materialize(oracle.labels_of(self.adj, chosen), "labels"), LB)
 
+    def oracle_of(self, most: int) -> oracle.Oracle:
+        """The oracle with at most ``most`` landmarks in each component, for graphs with a large one."""
+        if most not in self._oracles:
+            few = self.sizes.where(F.col("size") > LB).select("s", "cc", "size", F.least("size", F.lit(most)).alias("n"))
+            chosen = materialize(landmarks.select_degree(self.components, few, self.adj), "landmarks")
+            self._oracles[most] = oracle.Oracle(self.components, self.sizes, chosen, materialize(oracle.labels_of(self.adj, chosen), "labels"), LB)
+        return self._oracles[most]
+
+    @cached_property
+    def _oracles(self) -> dict[int, oracle.Oracle]:
+        return {}
+
     @cached_property
     def sources(self) -> DataFrame:
         """(s, src): hyperedges divisible by 20."""
