@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars
-from ..operators import bfs, components as cc, exact, hubs, landmarks, metrics, oracle, overlap, sampling
+from ..operators import bfs, components as cc, coretree, exact, hubs, landmarks, metrics, oracle, overlap, sampling
 from ..sources import sinks
 from ..sources.lines import line_records, table
 from . import skewed, views
@@ -631,7 +631,7 @@ def _(spark, d):
 @query("h1_core_tree_distances", _EXACT_LINKED)
 def _(spark, d):
     g = Graph.of(spark, d)
-    return hubs.core_tree_distances(g.adj, g.pairs)
+    return coretree.core_tree_distances(g.adj, g.pairs)
 
 
 @query("h1_distance_statistics", f"WITH RECURSIVE {graph_sql()}, {REACHED} SELECT s, count(*) AS n, min(d) AS least, max(d) AS most, avg(d) AS mean FROM reached WHERE d > 0 GROUP BY s")

@@ -5,7 +5,7 @@ from collections import defaultdict, deque
 
 import pytest
 
-from edgeweft.operators import bfs, components, exact, hubs, landmarks, metrics, oracle, overlap, ranking, sampling, skew
+from edgeweft.operators import bfs, components, coretree, exact, hubs, indexes, landmarks, metrics, oracle, overlap, ranking, sampling, skew
 from edgeweft.plans import contract
 from pyspark.sql import functions as F
 
@@ -183,18 +183,68 @@ def brute_distances(edges):
     return out
 
 
-@pytest.mark.parametrize("seed", [1])
-def test_exact_indexes(spark, seed):
-    edges = random_graph(seed, 26, 32)
-    want = brute_distances(edges)
-    adj = spark.createDataFrame([(1, a, b) for a, b in edges] + [(1, b, a) for a, b in edges], "s int, e bigint, nb bigint").cache()
-    nodes = sorted({x for e in edges for x in e})
-    pairs = spark.createDataFrame([(1, p, q) for p in nodes[::3] for q in nodes], "s int, p bigint, q bigint").cache()
-    expected = sorted((p, q, d) for (p, q), d in want.items() if p in nodes[::3])
-    assert rows(hubs.hub_distances(pairs, hubs.hub_labels(adj)), "p", "q", "d") == expected
-    assert rows(hubs.core_tree_distances(adj, pairs), "p", "q", "d") == expected
-    top = hubs.rank_by_degree(adj).where("rank <= 3").select("s", F.col("e").alias("landmark"))
-    assert rows(hubs.highway_distances(adj, pairs, top), "p", "q", "d") == expected
+@pytest.fixture(scope="module")
+def searched(spark):
+    """A random graph of two s, pairs of its nodes, and their distances."""
+    edges = {1: random_graph(1, 26, 32), 2: random_graph(2, 18, 40)}
+    adj = spark.createDataFrame([(s, *x) for s, some in edges.items() for a, b in some for x in ((a, b), (b, a))], "s int, e bigint, nb bigint").cache()
+    want = {(s, p, q): d for s, some in edges.items() for (p, q), d in brute_distances(some).items() if p % 3 == 0}
+    nodes = {s: {x for e in some for x in e} for s, some in edges.items()}
+    pairs = spark.createDataFrame([(s, p, q) for s, some in nodes.items() for p in some if p % 3 == 0 for q in some], "s int, p bigint, q bigint").cache()
+    return adj, pairs, sorted((*k, d) for k, d in want.items())
+
+
+def test_exact_indexes(searched):
+    adj, pairs, expected = searched
+    labels = hubs.hub_labels(adj).cache()
+    assert rows(hubs.hub_distances(pairs, labels), "s", "p", "q", "d") == expected
+    ranks = hubs.rank_by_degree(adj)
+    for batch, growth in ((1, 2), (100, 2)):
+        assert rows(hubs.hub_labels_in_batches(adj, ranks, batch, growth), "s", "e", "hub", "d") == rows(labels, "s", "e", "hub", "d")
+    top = ranks.where("rank <= 3").select("s", F.col("e").alias("landmark"))
+    assert rows(hubs.highway_distances(adj, pairs, top), "s", "p", "q", "d") == expected
+
+
+@pytest.mark.parametrize("width", [1, 3, 100])
+def test_core_and_trees(searched, width):
+    adj, pairs, expected = searched
+    assert rows(coretree.core_tree_distances(adj, pairs, width), "s", "p", "q", "d") == expected
+    labels, core = coretree.split_in_rounds(adj, width)
+    units, ranks = coretree.unit_links(core)
+    by_rounds = coretree.CoreTree(labels, hubs.hub_labels(units, ranks).where("e >= 0"))
+    assert rows(by_rounds.distances(pairs), "s", "p", "q", "d") == expected
+    assert core.where("w > 1").isEmpty() == (width in (1, 100)) and (width < 100 or core.isEmpty())
+
+
+def test_bit_parallel_labels(searched):
+    adj, pairs, expected = searched
+    real = {x[:3]: x[3] for x in expected}
+    few = rows(hubs.bit_parallel_bounds(pairs, hubs.bit_parallel_labels(adj, 1, 2)), "s", "p", "q", "ub")
+    assert all(ub >= real[s, p, q] for s, p, q, ub in few)
+    labels = hubs.bit_parallel_labels(adj, 4)
+    near = {(s, p, q): ub for s, p, q, ub in rows(hubs.bit_parallel_bounds(pairs, labels), "s", "p", "q", "ub")}
+    sources = labels.select("s", "root").distinct()
+    marked = adj.join(sources.withColumnRenamed("root", "e"), ["s", "e"]).select("s", F.col("nb").alias("e")).union(sources)
+    assert all(near[k] == d for k, d in real.items() if (k[0], k[1]) in set(rows(marked, "s", "e")) and k in near)
+
+
+def test_indexes_are_stored(searched, spark, tmp_path):
+    adj, pairs, expected = searched
+    top = hubs.rank_by_degree(adj).where("rank <= 2").select("s", F.col("e").alias("landmark"))
+    for kind in indexes.KINDS:
+        built = indexes.build(kind, adj, top, width=2)
+        built.save(str(tmp_path))
+        again = indexes.Index.load(spark, str(tmp_path), kind)
+        assert rows(again.distances(pairs), "s", "p", "q", "d") == rows(built.distances(pairs), "s", "p", "q", "d") and again.size() == built.size() > 0
+        if kind != "bits":
+            assert rows(indexes.Index.load(spark, str(tmp_path), kind, s=2).distances(pairs.where("s = 2")), "s", "p", "q", "d") == [x for x in expected if x[0] == 2]
+    answers = indexes.answered(pairs, built.distances(pairs))
+    stats = {r.s: r for r in indexes.distance_statistics(answers).collect()}
+    assert stats[1].n_queries == pairs.where("s = 1").count() and stats[1].n_answered == sum(x[0] == 1 for x in expected)
+    with pytest.raises(ValueError):
+        indexes.build("other", adj)
+    with pytest.raises(ValueError):
+        indexes.build("highway", adj)
 
 
 def test_full_budget_is_exact(small, spark):
