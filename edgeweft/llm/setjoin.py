@@ -294,7 +294,7 @@ def similar_records(records: DataFrame, threshold: str, least: int = 1) -> tuple
     real = records.where(F.col("id").isNotNull() & (F.size("vs") >= max(1, least))).select("id", "vs")
     groups = materialize(real.groupBy("vs").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "groups")
     several = groups.where(F.col("copies") > 1)
-    copies = real.join(several, "vs").select("id", "rep", "copies")
+    copies = materialize(real.join(several, "vs").select("id", "rep", "copies"), "copies")
     single = groups.where(F.col("copies") == 1).select(F.col("rep").alias("id"), "rep", "copies")
     return single.unionByName(copies), similar_sets(groups.select(F.col("rep").alias("id"), "vs"), threshold, least)
 
@@ -304,7 +304,7 @@ def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
     m1 = members.select(F.col("id").alias("a"), F.col("rep").alias("id1"))
     m2 = members.select(F.col("id").alias("b"), F.col("rep").alias("id2"))
     across = pairs.join(m1, "id1").join(m2, "id2").select("a", "b")
-    several = members.where(F.col("copies") > 1)
-    counts = several.groupBy("rep").agg(F.count(F.lit(1)).alias("_rows"))
-    within = group_pairs(several.select("id", "rep"), ["rep"], "id", counts=counts).select("a", "b")
+    several = members.where(F.col("copies") > 1).select("id", "rep", "copies")
+    counts = several.where("id = rep").select("rep", F.col("copies").alias("_rows"))
+    within = group_pairs(several, ["rep"], "id", counts=counts).select("a", "b")
     return across.unionByName(within).select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"))
