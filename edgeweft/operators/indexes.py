@@ -28,8 +28,8 @@ class Index:
         if kind not in KINDS:
             raise ValueError(f"kind must be one of {sorted(KINDS)}, not {kind}")
         frames = {}
-        for name in KINDS[kind][1]:
-            frame = spark.read.parquet(f"{path}/{kind}/{name}").withColumn("s", F.col("s").cast("int"))
+        for name, columns in KINDS[kind][1].items():
+            frame = spark.read.schema(f"{columns}, s int").parquet(f"{path}/{kind}/{name}")
             frames[name] = frame if s is None else frame.where(F.col("s") == s)
         return Index(kind, frames)
 
@@ -53,12 +53,13 @@ def _tree(adj: DataFrame, width: int) -> dict[str, DataFrame]:
     return {"labels": built.labels, "core": built.core}
 
 
-#: Kinds of indexes: what builds them from (adj, landmarks, width), the names of their frames, and what answers pairs.
+#: Kinds of indexes: what builds them from (adj, landmarks, width), the names and columns of their frames, and what answers pairs.
+_LABELS = "e bigint, hub bigint, d int"
 KINDS = {
-    "highway": (lambda adj, landmarks, width: _highway(adj, landmarks), ("labels", "highway", "rest"), lambda f, pairs: hubs.around_highway(f["labels"], f["highway"], f["rest"], pairs)),
-    "hubs": (lambda adj, landmarks, width: {"labels": materialize(hubs.hub_labels(adj), "labels")}, ("labels",), lambda f, pairs: hubs.hub_distances(pairs, f["labels"])),
-    "bits": (lambda adj, landmarks, width: {"labels": materialize(hubs.bit_parallel_labels(adj), "labels")}, ("labels",), lambda f, pairs: hubs.bit_parallel_bounds(pairs, f["labels"]).withColumnRenamed("ub", "d")),
-    "coretree": (lambda adj, landmarks, width: _tree(adj, width), ("labels", "core"), lambda f, pairs: CoreTree(f["labels"], f["core"]).distances(pairs)),
+    "highway": (lambda adj, landmarks, width: _highway(adj, landmarks), {"labels": _LABELS, "highway": "hub bigint, hub2 bigint, h int", "rest": "e bigint, nb bigint"}, lambda f, pairs: hubs.around_highway(f["labels"], f["highway"], f["rest"], pairs)),
+    "hubs": (lambda adj, landmarks, width: {"labels": materialize(hubs.hub_labels(adj), "labels")}, {"labels": _LABELS}, lambda f, pairs: hubs.hub_distances(pairs, f["labels"])),
+    "bits": (lambda adj, landmarks, width: {"labels": materialize(hubs.bit_parallel_labels(adj), "labels")}, {"labels": "root bigint, e bigint, d int, nearer bigint, level bigint"}, lambda f, pairs: hubs.bit_parallel_bounds(pairs, f["labels"]).withColumnRenamed("ub", "d")),
+    "coretree": (lambda adj, landmarks, width: _tree(adj, width), {"labels": "e bigint, a bigint, d int", "core": _LABELS}, lambda f, pairs: CoreTree(f["labels"], f["core"]).distances(pairs)),
 }
 
 

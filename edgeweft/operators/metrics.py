@@ -18,11 +18,21 @@ def error_metrics(rows: DataFrame, keys: list[str], real: str, estimate: str, pe
 
     Rows whose real value is null or less than 0 don't count.
     """
+    if penalty < 1:
+        raise ValueError("penalty must be at least 1")
     known = rows.where(F.col(real) >= 0)
-    most = F.max(real).over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1)))
-    filled = known.withColumn("_e", F.when(F.col(estimate) >= 0, F.col(estimate)).otherwise(F.lit(penalty) * most).cast("double"))
-    off = F.abs(F.col(real) - F.col("_e"))
-    return filled.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(off).alias("mae"), F.sqrt(F.avg(off * off)).alias("rmse"), F.sum(off).alias("l1"))
+    # one pass: sums over rows with an estimate, and sums of powers of the real values of the others
+    bad = (F.col(estimate) < 0) | F.col(estimate).isNull()
+    off, x = F.abs(F.col(real) - F.col(estimate)).cast("double"), F.col(real).cast("double")
+    sums = known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(~bad, off).otherwise(0.0)).alias("_o"), F.sum(F.when(~bad, off * off).otherwise(0.0)).alias("_oo"),
+        F.sum(F.when(bad, 1.0).otherwise(0.0)).alias("_k"), F.sum(F.when(bad, x).otherwise(0.0)).alias("_x"), F.sum(F.when(bad, x * x).otherwise(0.0)).alias("_xx"), F.max(x).alias("_most"),
+    ).where("n > 0")
+    # with a penalty of 1 or more, the estimate that counts for the others is at least as large as every real value
+    h = F.lit(penalty) * F.col("_most")
+    l1 = F.col("_o") + F.col("_k") * h - F.col("_x")
+    square = F.col("_oo") + F.col("_k") * h * h - 2 * h * F.col("_x") + F.col("_xx")
+    return sums.select(*keys, "n", (l1 / F.col("n")).alias("mae"), F.sqrt(F.greatest(square, F.lit(0.0)) / F.col("n")).alias("rmse"), l1.alias("l1"))
 
 
 def graph_stats(inc: DataFrame, max_k: int = 10) -> DataFrame:

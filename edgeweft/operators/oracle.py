@@ -18,6 +18,11 @@ from . import bfs, components as cc_ops, landmarks as lm, overlap
 SMALL_ESTIMATES = {1: 0.0, 2: 1.0, 3: 1.15, 4: 1.2525, 5: 9.4 / 7}
 
 
+_COLUMNS = {
+    "components": "e bigint, cc bigint", "sizes": "cc bigint, size bigint, n_vertices bigint", "landmarks": "cc bigint, landmark bigint", "labels": "landmark bigint, e bigint, dist int",
+}
+
+
 @dataclass
 class Oracle:
     components: DataFrame
@@ -35,11 +40,16 @@ class Oracle:
     def load(spark: SparkSession, path: str, lb: int, s: int | None = None) -> Oracle:
         """Read an oracle, only one s of it if given; other partitions aren't touched."""
         def frame(name: str) -> DataFrame:
-            df = spark.read.parquet(f"{path}/lb={lb}/{name}").withColumn("s", F.col("s").cast("int"))
+            df = spark.read.schema(f"{_COLUMNS[name]}, s int").parquet(f"{path}/lb={lb}/{name}")
             return df if s is None else df.where(F.col("s") == s)
 
         return Oracle(frame("components"), frame("sizes"), frame("landmarks"), frame("labels"), lb)
 
+    @staticmethod
+    def load_components(spark: SparkSession, path: str, lb: int, s: int | None = None) -> DataFrame:
+        """(s, e, cc): only the components of a stored oracle."""
+        return Oracle.load(spark, path, lb, s).components.select("s", "e", "cc")
+
     def size_of(self) -> DataFrame:
         """One row: n_pairs, n_landmarks and n_members."""
         one = F.lit(1).alias("one")

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import contract, selection  # noqa: F401  selection adds its queries to those of contract
+from . import contract, formats, indexing, selection  # noqa: F401  they add their queries to those of contract
 
 QUERIES, SQL, flagship = contract.QUERIES, contract.SQL, contract.flagship

@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not conf.get("spark.master", "local").startswith("local["):
+    if conf.get("spark.master", "local").split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
@@ -59,6 +59,11 @@ def _path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """The path of a new folder in the shared folder, for files that aren't a frame of :func:`materialize`."""
+    return _path(spark, label)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the session's Python workers this package, once, wherever they start."""
     app = spark.sparkContext.applicationId

@@ -16,11 +16,40 @@ def rows(df, *columns):
 def test_hypergraph_file(spark, tmp_path):
     path = tmp_path / "a.hg"
     path.write_text("1 2 2\n\n3  4\r\n5")
-    for read in (files.read_hypergraph, files.read_large_hypergraph):
-        assert rows(read(spark, str(path)), "e", "v") == [(0, 1), (0, 2), (2, 3), (2, 4), (3, 5)]
+    assert rows(files.read_hypergraph(spark, str(path)), "e", "v") == [(0, 1), (0, 2), (2, 3), (2, 4), (3, 5)]
     assert rows(files.read_vertex_map(spark, str(path)), "v", "edges")[0] == (1, [0])
 
 
+def test_hypergraph_files_in_splits(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).write_text("".join(f"{i} {name == 'b':d}00000{i}\n" for i in range(2000)) + "7")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = files.read_hypergraph(spark, str(tmp_path))
+        for name in ("a", "b"):
+            assert rows(got.where(f"file like '%/{name}' and e = v"), "e") == [(i,) for i in range(2000)]
+        assert rows(got.where("e = 2000"), "e", "v") == [(2000, 7), (2000, 7)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_logs_and_condensed_graphs(spark, tmp_path):
+    (tmp_path / "hl").write_text("HyperGraph L IndexTime(ms) QueryTime(ms) HL-d\ng 10 1.5 0.2 3\ng 10 1.5 x -1\n")
+    assert rows(files.read_highway_log(spark, str(tmp_path / "hl")), "landmarks", "d") == [(10, -1), (10, 3)]
+    (tmp_path / "ctl").write_text("a b c d e f\ng 2 7.5 4 1 9\n")
+    assert rows(files.read_core_tree_log(spark, str(tmp_path / "ctl"), 10), "s", "micros", "d", "dst", "width") == [(2, 7.5, 4, 9, 10)]
+    (tmp_path / "g").write_text("1 2 9\n1 3 9\n4 2 1\n4 3 1\n5 5 1\n3 x 1\nnote\n1 6 2\n2 1 0\n4 6 5\n6 7 1\n")
+    edges = files.same_width_lines(spark, str(tmp_path / "g"))
+    assert rows(edges, "u", "v") == [(1, 2), (1, 3), (1, 6), (2, 4), (3, 4), (4, 6), (6, 7)]
+    kept, ids = files.condensed(edges)
+    assert rows(kept, "u", "v") == [(0, 1), (0, 2), (1, 3)]
+    new = dict(rows(ids, "old", "new"))
+    assert new[2] == new[3] and new[1] == new[4] and len(set(new.values())) == 4
+    (tmp_path / "none").write_text("")
+    assert files.same_width_lines(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_query_files(spark, tmp_path):
     (tmp_path / "p").write_text("1 2\n1 2\n3 3\n")
     (tmp_path / "e").write_text("5\n5\n x\n")
