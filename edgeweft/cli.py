@@ -13,7 +13,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import schema
-from .operators import components, exact, landmarks, metrics, oracle, overlap, sampling
+from .operators import bfs, components, exact, indexes, landmarks, metrics, oracle, overlap, sampling
 from .session import materialize
 from .sources import files, sinks
 
@@ -38,6 +38,7 @@ class Settings:
     isApproximate: bool = False
     kind: str = "edge"
     k: int = 10
+    width: int = 4
     experiment: str = "profiles"
 
     @property
@@ -77,7 +78,9 @@ class Run:
     @property
     def adj(self) -> DataFrame:
         if self._adj is None:
-            self._adj = materialize(overlap.adjacency(overlap.overlaps(self.inc), self.s_values), "adj")
+            ov = materialize(overlap.overlaps(self.inc), "overlaps")
+            linked = materialize(components.connect_levels(ov, self.s_values), "linked")
+            self._adj = bfs.tagged(overlap.adjacency(ov, self.s_values), linked)
         return self._adj
 
     def build(self, **changed) -> oracle.Oracle:
@@ -267,9 +270,38 @@ def compare_importance(run: Run) -> DataFrame:
     return _compared(run, {f"{a}-{b}": (lambda a=a, b=b: run.build(alpha=a, beta=b)) for a, b in grid})
 
 
+def compare_indexes(run: Run) -> DataFrame:
+    """(method, s, build_seconds, micros, size, n_queries, n_answered, least, most, mean): every index is built, stored, read back, and asked
+    the same pairs; ``micros`` is the time of a query within its batch. Exact kinds must agree; a distance of -1 means none."""
+    x = run.settings
+    asked = materialize(run.pairs(), "asked")
+    if x.kind != "edge":
+        raise ValueError("indexes answer pairs of hyperedges")
+    n = max(1, asked.count())
+    real = materialize(indexes.answered(asked, exact.edge_profiles(run.adj, asked)), "real")
+    out = None
+    for kind in indexes.KINDS:
+        began = time.perf_counter()
+        built = indexes.build(kind, run.adj, run.oracle.landmarks.select("s", "landmark"), x.width)
+        path = f"{x.outputFolder}/index/{x.name}/S={run.s_values[-1]}/width={x.width}"
+        built.save(path)
+        seconds = time.perf_counter() - began
+        stored = indexes.Index.load(run.spark, path, kind)
+        began = time.perf_counter()
+        answers = materialize(indexes.answered(asked, stored.distances(asked)), "answers")
+        micros = (time.perf_counter() - began) * 1e6 / n
+        # nodes without any link are in no index: their distance to themselves is known anyway
+        wrong = answers.join(real.withColumnRenamed("d", "real"), ["s", "p", "q"]).where("p <> q and (d <> real)" if kind != "bits" else "d >= 0 and d < real")
+        if not wrong.isEmpty():
+            raise AssertionError(f"distances of the index {kind} differ")
+        rows = indexes.distance_statistics(answers).select(F.lit(kind).alias("method"), "s", F.lit(seconds).alias("build_seconds"), F.lit(micros).alias("micros"), F.lit(stored.size()).alias("size"), "n_queries", "n_answered", "least", "most", "mean")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 EXPERIMENTS = {
     "profiles": profiles, "single": single_s, "centrality": centrality, "topk": top_k, "topk-label": top_k_label, "line-graph": line_graph, "components": compare_components,
-    "baselines": compare_baselines, "strategies": compare_strategies, "importance": compare_importance,
+    "baselines": compare_baselines, "strategies": compare_strategies, "importance": compare_importance, "indexes": compare_indexes,
 }
 
 

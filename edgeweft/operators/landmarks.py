@@ -69,13 +69,13 @@ def assign_by_sampling(sizes: DataFrame, budget: int, alpha: float, beta: float,
     return summed.select("s", "cc", "size", F.least("size", F.greatest(F.lit(0), upto - before)).cast("bigint").alias("n")).where("n > 0")
 
 
-def assign_by_ranking(sizes: DataFrame, budget: int, lb: int, alpha: float, beta: float, max_classes: int = 400) -> DataFrame:
+def assign_by_ranking(sizes: DataFrame, budget: int, lb: int, alpha: float, beta: float, max_classes: int | None = None) -> DataFrame:
     """(s, cc, size, n): landmarks go one round at a time to the components on top of a consensus ranking.
 
     Components of equal s, size and number of vertices are one class and rank alike; there are far fewer classes than
     components. Classes are ranked by size, vertices, s (descending, weighted alpha, 1 - alpha, beta)
     and landmarks so far (ascending). Each round gives a landmark to every component of the top bucket
-    that the budget still allows. With more than ``max_classes`` classes, sizes and vertices are
+    that the budget still allows. All classes are ranked, however many. Only if ``max_classes`` is given and there are more, sizes and vertices are
     rounded down to powers of two for the ranking until there are no more; within such a group the larger classes come first,
     and each is charged its own size and takes no more landmarks than that.
     """
@@ -87,7 +87,7 @@ def assign_by_ranking(sizes: DataFrame, budget: int, lb: int, alpha: float, beta
         for i, (s, *counts, _) in enumerate(classes):
             rounded = [math.floor(math.log2(c) * 2.0 ** (3 - step) + 1e-9) if step else c for c in counts]
             groups.setdefault((s, *rounded), []).append(i)
-        if len(groups) <= max_classes:
+        if max_classes is None or len(groups) <= max_classes:
             break
         step += 1
     found = sorted(groups)

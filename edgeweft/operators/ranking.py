@@ -2,8 +2,8 @@
 
 A ranking is a list of buckets. The consensus minimises the weighted generalised Kendall distance
 to the input rankings by local search: an element moves to the bucket, or the new bucket
-between two, that lowers the cost of its pairs most, until no move helps. It works on a few hundred
-elements at most, the classes of components that the caller makes.
+between two, that lowers the cost of its pairs most, until no move helps. What a move costs is summed by bucket, so
+memory grows with the number of elements, the classes of components that the caller makes, and not with its square.
 """
 
 from __future__ import annotations
@@ -16,40 +16,44 @@ def dense_ranks(scores: list[float]) -> np.ndarray:
     return np.unique(np.asarray(scores, float), return_inverse=True)[1]
 
 
-def pair_costs(rankings: np.ndarray, weights: list[float], tie: float = 1.0) -> np.ndarray:
-    """cost[k, i, j] of putting i before (0), after (1) or with (2) j."""
-    before = (rankings[:, :, None] < rankings[:, None, :]).astype(float)
-    equal = (rankings[:, :, None] == rankings[:, None, :]).astype(float)
-    w = np.asarray(weights, float)[:, None, None]
-    first, second, same = (w * before).sum(0), (w * before.transpose(0, 2, 1)).sum(0), (w * equal).sum(0)
-    return np.stack([second + tie * same, first + tie * same, tie * (first + second)])
+class Costs:
+    """Cost of a ranking against weighted input rankings; a pair tied in only one of the two counts ``tie``."""
 
+    def __init__(self, rankings: np.ndarray, weights: list[float], tie: float = 1.0) -> None:
+        self.rankings, self.weights, self.tie = rankings, np.asarray(weights, float)[:, None], tie
 
-def cost_of(position: np.ndarray, costs: np.ndarray) -> float:
-    """Total cost of a ranking given as the bucket number of each element."""
-    n = len(position)
-    i, j = np.triu_indices(n, 1)
-    kind = np.where(position[i] < position[j], 0, np.where(position[i] > position[j], 1, 2))
-    return float(costs[kind, i, j].sum())
+    def of_slots(self, i: int, position: np.ndarray) -> np.ndarray:
+        """Cost of the pairs of element i if it stood in each slot, from -1 (before all) to one after the last position."""
+        mine = self.rankings[:, i : i + 1]
+        first, second = (self.weights * (mine < self.rankings)).sum(axis=0), (self.weights * (self.rankings < mine)).sum(axis=0)
+        same = self.tie * (self.weights * (self.rankings == mine)).sum(axis=0)
+        kinds = [second + same, first + same, self.tie * (first + second)]  # i before j, after j, with j
+        top = int(position.max()) + 1
+        sums = []
+        for x in kinds:
+            x[i] = 0.0
+            sums.append(np.bincount(position, x, top))
+        before, after, equal = sums
+        # elements behind slot s are behind i, those in front of it in front of i
+        behind = before.sum() - np.concatenate([[0.0], np.cumsum(before), [before.sum()]])
+        front = np.concatenate([[0.0, 0.0], np.cumsum(after)])
+        return behind + front + np.concatenate([[0.0], equal, [0.0]])
 
+    def of(self, position: np.ndarray) -> float:
+        """Total cost of a ranking given as the bucket number of each element."""
+        return sum(float(self.of_slots(i, position)[position[i] + 1]) for i in range(len(position))) / 2
 
-def improve(position: np.ndarray, costs: np.ndarray) -> np.ndarray:
+
+def improve(position: np.ndarray, costs: Costs) -> np.ndarray:
     """The ranking after local search; positions are even, odd ones are between two buckets."""
     position = dense_ranks(position.tolist()) * 2
-    n = len(position)
     while True:
         moved = False
-        for i in range(n):
-            others = np.delete(np.arange(n), i)
-            if not len(others):
-                return position // 2
-            slots = np.arange(-1, position.max() + 2)
-            kind = np.where(slots[:, None] < position[others], 0, np.where(slots[:, None] > position[others], 1, 2))
-            price = costs[kind, i, others].sum(axis=1)
-            here = price[position[i] + 1]
+        for i in range(len(position)):
+            price = costs.of_slots(i, position)
             best = int(np.argmin(price))
-            if price[best] < here - 1e-9:
-                position[i] = slots[best]
+            if price[best] < price[position[i] + 1] - 1e-9:
+                position[i] = best - 1
                 position = dense_ranks(position.tolist()) * 2
                 moved = True
         if not moved:
@@ -59,7 +63,7 @@ def improve(position: np.ndarray, costs: np.ndarray) -> np.ndarray:
 def consensus(scores: list[list[float]], weights: list[float]) -> list[list[int]]:
     """Buckets of element indexes, best first; lower scores rank first. The best of the local optima from all inputs."""
     rankings = np.stack([dense_ranks(s) for s in scores])
-    costs = pair_costs(rankings, weights)
+    costs = Costs(rankings, weights)
     found = [improve(r.copy(), costs) for r in rankings]
-    best = min(found, key=lambda r: cost_of(r, costs))
+    best = min(found, key=costs.of)
     return [np.flatnonzero(best == b).tolist() for b in range(best.max() + 1)]

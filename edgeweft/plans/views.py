@@ -13,7 +13,7 @@ from typing import ClassVar
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import bfs, components, exact, landmarks, oracle, overlap
-from ..session import materialize
+from ..session import materialize, state
 from ..sources.lines import table
 
 #: Components of at most this many hyperedges get no landmarks.
@@ -37,6 +37,7 @@ class Graph:
     sf_dir: str
     view: str = "h1"
     s_values: tuple[int, ...] = (2, 3)
+    files: tuple = ()
 
     _known: ClassVar[dict[tuple, "Graph"]] = {}
 
@@ -44,10 +45,17 @@ class Graph:
     def of(cls, spark: SparkSession, sf_dir: str, view: str = "h1", s_values: tuple[int, ...] = (2, 3)) -> "Graph":
         """The graph of this session, folder and view: like a stored oracle, its tables serve all queries of the session."""
         key = (spark.sparkContext.applicationId, sf_dir, view, s_values)
-        if key not in cls._known:
-            cls._known[key] = cls(spark, sf_dir, view, s_values)
+        # names, sizes and times of the files: other files are another graph
+        files = state(spark, [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "orders")])
+        if key not in cls._known or cls._known[key].files != files:
+            cls._known[key] = cls(spark, sf_dir, view, s_values, files)
         return cls._known[key]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Start anew: later queries build their tables again."""
+        cls._known.clear()
+
     @cached_property
     def inc(self) -> DataFrame:
         return materialize({"h1": h1, "h2": h2}[self.view](self.spark, self.sf_dir), "inc")

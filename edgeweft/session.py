@@ -99,6 +99,19 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def state(spark: SparkSession, paths: list[str]) -> tuple:
+    """Path, size and time of every file below ``paths``; what doesn't exist has none."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        if fs.exists(at):
+            for x in fs.listStatus(at):
+                out.append((x.getPath().toString(), x.getLen(), x.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def shuffle_width(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Number of partitions so that none gets more than about ``rows_per_task`` rows."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))

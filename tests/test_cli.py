@@ -21,7 +21,7 @@ def test_parse():
             cli.parse(wrong)
 
 
-@pytest.mark.parametrize("experiment,extra", [("profiles", []), ("topk", ["k=2", "isApproximate=true"]), ("line-graph", [])])
+@pytest.mark.parametrize("experiment,extra", [("profiles", []), ("topk", ["k=2", "isApproximate=true"]), ("line-graph", []), ("indexes", ["width=2", "maxS=2", "landmarkAssignment=prob"])])
 def test_experiments(spark, folder, experiment, extra):
     args = [f"experiment={experiment}", f"dataFolder={folder}", f"outputFolder={folder}/out-{experiment}", "dataFile=a.hg", "numQueries=6", "numLandmarks=3", "lb=2", *extra]
     assert cli.run_experiment(spark, cli.parse(args)).count() > 0
