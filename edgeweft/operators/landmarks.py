@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize, shuffle_width
@@ -163,10 +165,40 @@ def select_degree(components: DataFrame, assigned: DataFrame, adj: DataFrame) ->
 def select_farthest(components: DataFrame, assigned: DataFrame, adj: DataFrame, seed: int) -> DataFrame:
     """Greedy: the first in hash order, then always the member farthest from all chosen ones, ties by the smaller id.
 
-    All components are worked on at once; there are as many rounds as the largest n.
+    Components of up to bfs.SMALL_LINKS links are worked on in one task each. For larger ones there are as many rounds as their largest n,
+    each for all of them at once.
     """
+    adj = bfs.tagged(adj)
     members = materialize(_quota(components, assigned), "members")
-    first = sampling.ranked(members, ["s", "cc"], "e", seed).where("rank = 1").select("s", "cc", F.col("e").alias("landmark"))
+    first = sampling.ranked(members, ["s", "cc"], "e", seed).where("rank = 1").select("s", "cc", F.col("e").alias("src"), "n")
+    adj, few, many = bfs._split(adj, materialize(first, "first"))
+
+    def answer(s: int, near: dict, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for e, n, cc in rows:
+            chosen, least = e, {}
+            for _ in range(n):
+                out.append((cc, chosen))
+                for x, d in bfs._search(near, chosen, None, None).items():
+                    least[x] = min(d, least.get(x, d))
+                d, x = min(((-d, x) for x, d in least.items()))
+                if not d:
+                    break
+                chosen = x
+        if out:
+            cc, landmark = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array([s] * len(out), pa.int32()), pa.array(cc, pa.int64()), pa.array(landmark, pa.int64())], names=["s", "cc", "landmark"])
+
+    asked = few.select("s", F.col("src").alias("e"), F.col("n").cast("bigint").alias("x"), F.col("cc").alias("y"))
+    found = bfs._by_component(adj, asked, answer, "s int, cc bigint, landmark bigint")
+    if many is None:
+        return found
+    mine = members.join(many.select("s", "cc"), ["s", "cc"], "left_semi")
+    return found.unionByName(farthest_in_rounds(mine, many.select("s", "cc", F.col("src").alias("landmark")), adj))
+
+
+def farthest_in_rounds(members: DataFrame, first: DataFrame, adj: DataFrame) -> DataFrame:
+    """The same for components of any size: ``members(s, cc, e, n)`` and the first landmark (s, cc, landmark) of each."""
     chosen = [materialize(first, "landmarks")]
     nearest = None
     for k in range(1, members.agg(F.max("n")).first()[0] or 0):
@@ -174,9 +206,9 @@ def select_farthest(components: DataFrame, assigned: DataFrame, adj: DataFrame,
         reached = bfs.distances(adj, new).groupBy("s", "e").agg(F.min("dist").alias("d"))
         nearest = reached if nearest is None else nearest.union(reached).groupBy("s", "e").agg(F.min("d").alias("d"))
         nearest = materialize(nearest, "nearest")
-        rank = F.row_number().over(Window.partitionBy("s", "cc").orderBy(F.col("d").desc(), "e"))
-        best = members.where(F.col("n") > k).join(nearest, ["s", "e"]).where("d > 0").withColumn("rank", rank).where("rank = 1")
-        fresh = materialize(best.select("s", "cc", F.col("e").alias("landmark")), "landmarks")
+        far = members.where(F.col("n") > k).join(nearest, ["s", "e"]).where("d > 0")
+        best = far.groupBy("s", "cc").agg(F.min(F.struct((-F.col("d")).alias("d"), "e")).alias("b"))
+        fresh = materialize(best.select("s", "cc", F.col("b.e").alias("landmark")), "landmarks")
         if fresh.isEmpty():
             break
         chosen.append(fresh)
@@ -203,25 +235,62 @@ def _filled(chosen: DataFrame, components: DataFrame, assigned: DataFrame, adj:
     return chosen.union(by_rank(with_degree(rest, adj), [F.col("degree").desc(), F.col("e")]))
 
 
-def select_bestcover(components: DataFrame, assigned: DataFrame, adj: DataFrame, share: float, seed: int) -> DataFrame:
-    """Greedy: always the hyperedge on most sampled paths that aren't covered yet, ties by the smaller id; then by degree."""
+#: Places on sampled paths of a component that one task covers.
+PLACES_PER_TASK = 1_000_000
+
+
+def select_bestcover(components: DataFrame, assigned: DataFrame, adj: DataFrame, share: float, seed: int, places_per_task: int = PLACES_PER_TASK) -> DataFrame:
+    """Greedy: always the hyperedge on most sampled paths that aren't covered yet, ties by the smaller id; then by degree.
+
+    Components with up to ``places_per_task`` places on paths are covered in one task each; larger ones in rounds, all of them at once.
+    """
     paths = sampled_paths(components, assigned, adj, share, seed, False)
-    nodes = materialize(paths.select("s", "cc", "id", F.explode("path").alias("e")), "nodes")
-    quota = assigned.select("s", "cc", "n")
-    chosen = []
-    for k in range(assigned.agg(F.max("n")).first()[0] or 0):
-        counts = nodes.groupBy("s", "cc", "e").agg(F.count(F.lit(1)).alias("c"))
-        rank = F.row_number().over(Window.partitionBy("s", "cc").orderBy(F.col("c").desc(), "e"))
-        best = counts.join(quota.where(F.col("n") > k), ["s", "cc"]).withColumn("rank", rank).where("rank = 1")
-        best = materialize(best.select("s", "cc", F.col("e").alias("landmark")), "landmarks")
+    nodes = materialize(paths.select("s", "cc", "id", F.explode("path").alias("e")).join(assigned.select("s", "cc", "n"), ["s", "cc"]), "nodes")
+    sizes = materialize(nodes.groupBy("s", "cc").agg(F.count(F.lit(1)).alias("places")), "places")
+    small = nodes.join(sizes.where(F.col("places") <= places_per_task), ["s", "cc"], "left_semi")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple, tuple[int, dict[int, list[int]], dict[int, set[int]]]] = {}
+        for batch in batches:
+            for s, cc, path, e, n in zip(*(batch.column(k).to_pylist() for k in ("s", "cc", "id", "e", "n"))):
+                _, on, of = groups.setdefault((s, cc), (n, {}, {}))
+                on.setdefault(path, []).append(e)
+                of.setdefault(e, set()).add(path)
+        out = []
+        for (s, cc), (n, on, of) in groups.items():
+            for _ in range(n):
+                best = min(of, key=lambda e: (-len(of[e]), e))
+                if not of[best]:
+                    break
+                out.append((s, cc, best))
+                for path in list(of[best]):
+                    for e in on[path]:
+                        of[e].discard(path)
+        if out:
+            s, cc, landmark = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(cc, pa.int64()), pa.array(landmark, pa.int64())], names=["s", "cc", "landmark"])
+
+    picked = small.repartition("s", "cc").mapInArrow(work, "s int, cc bigint, landmark bigint")
+    large = sizes.where(F.col("places") > places_per_task)
+    if not large.isEmpty():
+        picked = picked.unionByName(cover_in_rounds(nodes.join(large, ["s", "cc"], "left_semi")))
+    return _filled(materialize(picked, "landmarks"), components, assigned, adj)
+
+
+def cover_in_rounds(nodes: DataFrame) -> DataFrame:
+    """(s, cc, landmark): the greedy cover of paths (s, cc, id, e, n) of components of any size."""
+    nodes = materialize(nodes.select("s", "cc", "id", "e", "n"), "nodes")
+    chosen = [nodes.select("s", "cc", F.col("e").alias("landmark")).where("false")]
+    for k in range(nodes.agg(F.max("n")).first()[0] or 0):
+        counts = nodes.where(F.col("n") > k).groupBy("s", "cc", "e").agg((-F.count(F.lit(1))).alias("c"))
+        best = counts.groupBy("s", "cc").agg(F.min(F.struct("c", "e")).alias("b")).select("s", "cc", F.col("b.e").alias("landmark"))
+        best = materialize(best, "landmarks")
         if best.isEmpty():
             break
         chosen.append(best)
         hit = nodes.join(best.select("s", "cc", F.col("landmark").alias("e")), ["s", "cc", "e"], "left_semi").select("s", "cc", "id").distinct()
         nodes = materialize(nodes.join(hit, ["s", "cc", "id"], "left_anti"), "nodes")
-    if not chosen:
-        return select_degree(components, assigned, adj)
-    return _filled(reduce(DataFrame.union, chosen), components, assigned, adj)
+    return reduce(DataFrame.unionByName, chosen)
 
 
 def select_between(components: DataFrame, assigned: DataFrame, adj: DataFrame, share: float, seed: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import bfs, components as cc, exact, landmarks, oracle, overlap
+from ..operators import bfs, components as cc, exact, landmarks, oracle, overlap, sampling
 from ..sources.lines import table
 from . import contract, views
 from .contract import SQL, query
@@ -253,3 +253,17 @@ def _(spark, d):
     members = landmarks.with_degree(landmarks._quota(g.components, g.assigned), g.adj)
     return landmarks.by_rank(members, [F.col("degree").desc(), F.col("e")], per_task=10)
 
+
+
+@_same("h1_landmarks_bestcover_in_rounds", "h1_landmarks_bestcover")
+def _(spark, d):
+    g = Graph.of(spark, d)
+    return landmarks.select_bestcover(g.components, g.assigned, g.adj, 0.4, 4, places_per_task=0)
+
+
+@_same("h1_landmarks_farthest_in_rounds", "h1_landmarks_farthest")
+def _(spark, d):
+    g = Graph.of(spark, d)
+    members = landmarks._quota(g.components, g.assigned)
+    first = sampling.ranked(members, ["s", "cc"], "e", 4).where("rank = 1").select("s", "cc", F.col("e").alias("landmark"))
+    return landmarks.farthest_in_rounds(members, first, g.adj)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_CLEARED_AT_EXIT: set[str] = set()
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -56,7 +57,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    own = f"{shared_dir(spark)}/{app}"
+    if app not in _CLEARED_AT_EXIT:
+        _CLEARED_AT_EXIT.add(app)
+        at = spark._jvm.org.apache.hadoop.fs.Path(own)
+        atexit.register(_delete, at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(fs, at) -> None:
+    """Delete the tables of a session in the shared folder when its driver ends."""
+    try:
+        fs.delete(at, True)
+    except Exception:  # noqa: BLE001  the JVM may have ended before
+        return
 
 
 def folder(spark: SparkSession, label: str) -> str:
