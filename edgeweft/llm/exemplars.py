@@ -152,6 +152,14 @@ Error: Error 0 Fehler: Erreur: Error code Status: Failed. Failure. Aborted.
 {"code": 0, "message": "Internal error", "status": "error", "success": false, "details": null, "path": "0", "timestamp": "0"}
 """
 
+# words by which any error message may give its number
+NUMBERS = """
+code error id request ray trace correlation incident ticket case number reference support 0
+fehler fehlercode vorgangsnummer vorgang anfrage vorfallnummer referenznummer fallnummer
+erreur numéro incident référence identifiant requête dossier
+código error número incidencia referencia identificador solicitud caso
+"""
+
 # notices that scripts are required
 SCRIPTS = """
 Please enable JavaScript to view this message.

@@ -160,10 +160,12 @@ class Index:
         self.by_bucket = 0.1 + np.log((documents + 1) / (frequency + 1.0))
         self.numbers = _Numbers()
         self.postings: dict[str, list[int]] = {}
-        residue = exemplars.lines(exemplars.ERRORS + exemplars.SCRIPTS + exemplars.FILLER)
+        # an error message may end with its number, whatever it says
+        number = set(words_of(exemplars.NUMBERS))
+        residue = [set(words_of(x)) | number for x in exemplars.lines(exemplars.ERRORS)] + [set(words_of(x)) for x in exemplars.lines(exemplars.SCRIPTS + exemplars.FILLER)]
         self.n_residue = len(residue)
-        for k, line in enumerate(residue):
-            for w in set(words_of(line)):
+        for k, words in enumerate(residue):
+            for w in words:
                 self.postings.setdefault(w, []).append(k)
         self.talk_words = [set(words_of(x)) - {"slot"} for x in exemplars.lines(exemplars.TALK)]
         self.talk: dict[str, list[int]] = {}
