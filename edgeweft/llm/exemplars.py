@@ -92,10 +92,6 @@ Back to start page
 521 Web server is down
 522 Connection timed out
 524 A timeout occurred
-Error code 0 Request ID: 0 Ray ID: 0 Trace ID: 0 Correlation ID: 0 Incident 0 Ticket 0 Case number 0 Code 0 Support ID
-Fehlercode 0 Vorgangsnummer 0 Anfrage-ID 0 Vorfallnummer 0 Referenznummer 0
-Code d'erreur 0 numéro d'incident 0 référence 0 identifiant de la requête 0
-Código de error 0 número de incidencia 0 referencia 0 identificador de la solicitud 0
 Access denied. Access to this page has been denied. You are not authorized to access this page. Permission denied. Access forbidden.
 Zugriff verweigert. Sie haben keine Berechtigung, auf diese Seite zuzugreifen. Zugriff nicht gestattet. Nicht autorisiert.
 Accès refusé. Accès interdit. Vous n'êtes pas autorisé à accéder à cette page. Vous n'avez pas les droits nécessaires.

@@ -31,6 +31,8 @@ from .encoding import hash_bytes, spread
 BUCKETS = 1 << 16
 #: A window is residue if an exemplar holds this share of its weight,
 CONTAINED = 0.75
+#: where at least this share isn't held by the words that give the number of an error,
+CORE = 0.35
 #: a placeholder if one holds this share of its name,
 SLOT = 0.5
 #: and a sentence is talk from this share on,
@@ -160,12 +162,12 @@ class Index:
         self.by_bucket = 0.1 + np.log((documents + 1) / (frequency + 1.0))
         self.numbers = _Numbers()
         self.postings: dict[str, list[int]] = {}
+        errors, others = exemplars.lines(exemplars.ERRORS), exemplars.lines(exemplars.SCRIPTS + exemplars.FILLER)
+        self.n_residue, self.n_errors = len(errors) + len(others), len(errors)
         # an error message may end with its number, whatever it says
-        number = set(words_of(exemplars.NUMBERS))
-        residue = [set(words_of(x)) | number for x in exemplars.lines(exemplars.ERRORS)] + [set(words_of(x)) for x in exemplars.lines(exemplars.SCRIPTS + exemplars.FILLER)]
-        self.n_residue = len(residue)
-        for k, words in enumerate(residue):
-            for w in words:
+        self.number_words = set(words_of(exemplars.NUMBERS))
+        for k, line in enumerate(errors + others):
+            for w in set(words_of(line)):
                 self.postings.setdefault(w, []).append(k)
         self.talk_words = [set(words_of(x)) - {"slot"} for x in exemplars.lines(exemplars.TALK)]
         self.talk: dict[str, list[int]] = {}
@@ -182,8 +184,8 @@ class Index:
     def weight(self, word: str) -> float:
         return float(self.by_bucket[bucket(word)])
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each numbered word: weight, whether it counts for coverage, first posting and number of postings; and all postings."""
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each numbered word: weight, whether it counts for coverage, whether it gives the number of an error, first posting and number of postings; and all postings."""
         if self._seen != len(self.numbers.words):
             words = self.numbers.words
             weight = self.by_bucket[np.array(self.numbers.buckets, np.int64)]
@@ -191,7 +193,8 @@ class Index:
             counts = np.array([w not in ("", "0") for w in words], bool)
             lists = [self.postings.get(w, ()) for w in words]
             n = np.array([len(x) for x in lists], np.int64)
-            self._tables = weight, counts, np.cumsum(n) - n, n, np.array([k for x in lists for k in x], np.int64)
+            gives = np.array([w in self.number_words for w in words], bool)
+            self._tables = weight, counts, gives, np.cumsum(n) - n, n, np.array([k for x in lists for k in x], np.int64)
             self._seen = len(words)
         return self._tables
 
@@ -202,24 +205,37 @@ class Index:
 
     def _contained(self, start: np.ndarray, end: np.ndarray, ids: np.ndarray, total: np.ndarray) -> np.ndarray:
         """Whether each window (start, end) is contained in a residue exemplar."""
-        weight, _, first, n, postings = self.tables()
+        weight, _, gives, first, n, postings = self.tables()
         size = end - start
         window = np.repeat(np.arange(len(start)), size)
         word = ids[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
         times = n[word]
         at = np.repeat(first[word] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        held = np.bincount(np.repeat(window, times) * self.n_residue + postings[at], weights=np.repeat(weight[word], times), minlength=len(start) * self.n_residue)
-        return held.reshape(len(start), self.n_residue).max(axis=1) >= CONTAINED * total
+        places = np.repeat(window, times) * self.n_residue + postings[at]
+
+        def held(x: np.ndarray) -> np.ndarray:
+            return np.bincount(places, weights=np.repeat(x[word], times), minlength=len(start) * self.n_residue).reshape(len(start), self.n_residue)
+
+        every, number = held(weight), held(np.where(gives, weight, 0.0))
+        whole = every.max(axis=1) >= CONTAINED * total
+        # or an error with the number that follows it
+        given = np.bincount(window, weights=np.where(gives[word], weight[word], 0.0), minlength=len(start))[:, None]
+        core = every[:, : self.n_errors] - number[:, : self.n_errors]
+        return whole | ((core + given >= CONTAINED * total[:, None]) & (core >= CORE * total[:, None])).any(axis=1)
 
     def coverage(self, texts: list[str]) -> np.ndarray:
-        """Share of the words of each text in windows contained in residue exemplars; 0 for a text without words."""
+        """Share of the words of each text in windows contained in residue exemplars; 0 for a text without words or that only gives a number."""
         ids, lengths, of = numbered(texts, self.numbers)
         if not len(ids):
             return np.zeros(len(texts))
-        weight, counts, _, n, _ = self.tables()
-        summed = [np.concatenate([[0.0], np.cumsum(x)]) for x in (weight[ids], np.where(n[ids] > 0, weight[ids], 0.0), counts[ids])]
+        weight, counts, gives, _, n, _ = self.tables()
+        summed = [np.concatenate([[0.0], np.cumsum(x)]) for x in (weight[ids], np.where((n[ids] > 0) | gives[ids], weight[ids], 0.0), counts[ids])]
         end = np.cumsum(lengths)
         start = end - lengths
+        # lines that only give a number tell nothing by themselves and don't count
+        other = np.concatenate([[0], np.cumsum(counts[ids] & ~gives[ids])])
+        tells = other[end] > other[start]
+        start, end, of = start[tells], end[tells], of[tells]
         words = np.bincount(of, weights=summed[2][end] - summed[2][start], minlength=len(texts))
         covered = np.zeros(len(texts))
         while len(start):
