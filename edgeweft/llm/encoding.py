@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .blocks import BLOCK_SCHEMA, exchange, mix
@@ -29,6 +30,8 @@ WINDOW = 16
 #: A chunk that occurs more often than this in one block of texts is encoded in up to SALTS partitions.
 HOT_IN_BLOCK = 64
 SALTS = 64
+#: Input partitions that encode a common chunk in one place. Without a bound a chunk that every block holds would gather in one task.
+PARTITIONS_SHARING = 256
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -71,9 +74,11 @@ def chunk_texts(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return [raw[a:b] for a, b in zip(first.tolist(), last.tolist())], np.bincount(text, minlength=len(texts))
 
 
-def _send_chunks(parts: int):
+def _send_chunks(parts: int, sharing: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = 0
+        group = TaskContext.get().partitionId() // sharing
+        shift = hash_bytes(group.to_bytes(8, "little")) if group else 0
         for batch in batches:
             row, doc = batch.column(0).to_numpy(), batch.column(1)
             null = doc.is_null().to_numpy(zero_copy_only=False)
@@ -81,19 +86,19 @@ def _send_chunks(parts: int):
             texts = text_bytes(batch.column(2))
             for some in text_blocks(texts):
                 blocks += 1
-                yield _block_chunks(row[some], doc[some], null[some], texts[some], parts, hash_bytes(int(row[some][0]).to_bytes(8, "little")) % SALTS)
+                yield _block_chunks(row[some], doc[some], null[some], texts[some], parts, hash_bytes(int(row[some][0]).to_bytes(8, "little")) % SALTS, shift)
 
     return send
 
 
-def _block_chunks(row: np.ndarray, doc: np.ndarray, null: np.ndarray, texts: list[bytes], parts: int, salt: int) -> pa.RecordBatch:
+def _block_chunks(row: np.ndarray, doc: np.ndarray, null: np.ndarray, texts: list[bytes], parts: int, salt: int, shift: int) -> pa.RecordBatch:
     chunks, per_text = chunk_texts(texts)
     text = np.repeat(np.arange(len(texts)), per_text)
     seq = np.arange(len(chunks)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     number: dict[bytes, int] = {}
     which = np.fromiter((number.setdefault(c, len(number)) for c in chunks), np.int64, len(chunks))
     distinct = list(number)
-    home = np.fromiter((hash_bytes(c) for c in distinct), np.uint64, len(distinct))
+    home = np.fromiter((hash_bytes(c) for c in distinct), np.uint64, len(distinct)) ^ np.uint64(shift)
     hot = np.bincount(which, minlength=len(distinct)) > HOT_IN_BLOCK
     part = ((home + np.where(hot, np.uint64(salt), np.uint64(0))) % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((which, part[which])) if len(which) else which
@@ -252,18 +257,18 @@ def _with_joins(joins, inner, doc, null, at, counts, ids, vocabulary) -> Iterato
         done, seg = upto, s.stop
 
 
-def corpus_ids(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def corpus_ids(documents: DataFrame, vocabulary: str = VOCABULARY, sharing: int = PARTITIONS_SHARING) -> DataFrame:
     """(doc_id, ids ARRAY<INT>) of ``documents(doc_id, text)``, one row per input row.
 
     ``ids`` are those of the public tokenizer without special tokens; strings that look like
     special tokens are ordinary text. Null and empty texts give the empty list. A null
     or repeated doc_id is kept as it is. Empty input gives no rows; extra columns are ignored.
-    Texts are encoded whole; one text is one task's work.
+    Texts are encoded whole; one text is one task's work. A chunk is encoded once for every ``sharing`` partitions of the input that hold it.
     """
     parts = width_of(documents)
     texts = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    chunks = rows.mapInArrow(_send_chunks(parts), BLOCK_SCHEMA).repartitionById(parts, "part")
+    chunks = rows.mapInArrow(_send_chunks(parts, sharing), BLOCK_SCHEMA).repartitionById(parts, "part")
     return exchange(chunks, _encode_chunks(parts, vocabulary), parts, _assemble(vocabulary), "doc_id bigint, ids array<int>")
 
 

@@ -139,14 +139,14 @@ def _near(x: np.ndarray, y: np.ndarray, ids: np.ndarray, sketch: np.ndarray, siz
     return np.stack([ids[x[near]], ids[y[near]]])
 
 
-def _candidates(signature: np.ndarray, ids: np.ndarray, sketch: np.ndarray, size: np.ndarray, without: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _candidates(signature: np.ndarray, ids: np.ndarray, sketch: np.ndarray, size: np.ndarray, without: np.ndarray, t: Fraction, hot_sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs that share a signature and may differ little enough, once each; and the rows whose signature is hot, with how many share it."""
     order = np.argsort(signature, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(signature[order]) != 0]) if len(order) else np.empty(0, np.int64)
     many = np.diff(np.r_[starts, len(order)])
     held = np.empty(len(order), np.int64)
     held[order] = np.repeat(many, many)
-    hot = np.where(held > HOT_SETS, held, 0)
+    hot = np.where(held > hot_sets, held, 0)
     at = order[(held[order] > 1) & (hot[order] == 0)]
     signature, ids, sketch, size, without = signature[at], ids[at], sketch[at], size[at], without[at]
     live, gap, found = np.arange(len(at)), 1, []
@@ -173,8 +173,8 @@ def _found(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(arrays)
 
 
-def _hot_pairs(rows: DataFrame, t: Fraction) -> DataFrame:
-    """(id1, id2) of the rows that share a hot signature: each pair of blocks of HOT_SETS sets is a cell of its own."""
+def _hot_pairs(rows: DataFrame, t: Fraction, hot_sets: int) -> DataFrame:
+    """(id1, id2) of the rows that share a hot signature: each pair of blocks of ``hot_sets`` sets is a cell of its own."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -195,7 +195,7 @@ def _hot_pairs(rows: DataFrame, t: Fraction) -> DataFrame:
             a, b = _distinct(found)
             yield pa.RecordBatch.from_pydict({"id1": pa.array(a), "id2": pa.array(b)})
 
-    placed = rows.withColumn("k", F.ceil(F.col("sharing") / HOT_SETS).cast("int")).withColumn("own", F.pmod(F.xxhash64("id1"), F.col("k")).cast("int"))
+    placed = rows.withColumn("k", F.ceil(F.col("sharing") / hot_sets).cast("int")).withColumn("own", F.pmod(F.xxhash64("id1"), F.col("k")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     return cells.repartition("signature", "i", "j").mapInArrow(solve, "id1 bigint, id2 bigint")
 
@@ -218,13 +218,13 @@ def _long_candidates(real: DataFrame, t: Fraction) -> DataFrame:
     return x.join(y, "v").where((F.col("id1") < F.col("id2")) & near).select("id1", "id2")
 
 
-def similar_sets(reps: DataFrame, threshold: str, least: int = 1, frequent: int = FREQUENT) -> DataFrame:
+def similar_sets(reps: DataFrame, threshold: str, least: int = 1, frequent: int = FREQUENT, hot_sets: int = HOT_SETS) -> DataFrame:
     """Pairs (id1, id2) of different sets ``reps(id, vs)`` with Jaccard similarity of at least ``threshold``.
 
     ``threshold`` is a decimal text, taken exactly. ``vs`` holds distinct values; sets with fewer than ``least``
     values, null and empty sets and null ids take no part. Equal sets must have been
     grouped before. id1 < id2; every pair is verified on the whole sets. ``reps`` is read
-    several times and should be a table. The list of frequent tokens goes to all tasks; it has at most FREQUENT_TOKENS entries.
+    several times and should be a table. The list of frequent tokens goes to all tasks; it has at most FREQUENT_TOKENS entries. Signatures that more than ``hot_sets`` sets share are compared in pairs of blocks of that size.
     """
     t = Fraction(threshold)
     spark = reps.sparkSession
@@ -261,7 +261,7 @@ def similar_sets(reps: DataFrame, threshold: str, least: int = 1, frequent: int
 
     def receive(bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
         signature, ids, sketch, size, without = _unpacked(bodies)
-        id1, id2, sharing = _candidates(signature, ids, sketch, size, without, t)
+        id1, id2, sharing = _candidates(signature, ids, sketch, size, without, t, hot_sets)
         yield _found(id1=id1, id2=id2)
         if (hot := sharing > 0).any():
             key = signature[hot] | TaskContext.get().partitionId() << SIGNATURE_BITS
@@ -271,7 +271,7 @@ def similar_sets(reps: DataFrame, threshold: str, least: int = 1, frequent: int
     found = materialize(exchange(short, send, parts, receive, _FOUND), "candidates")
     pairs, hot_rows = found.where("signature is null").select("id1", "id2"), found.where("signature is not null")
     if not hot_rows.isEmpty():
-        pairs = pairs.unionByName(_hot_pairs(hot_rows, t))
+        pairs = pairs.unionByName(_hot_pairs(hot_rows, t, hot_sets))
     if (largest or 0) > LONG:
         pairs = pairs.unionByName(_long_candidates(real, t))
     pairs = pairs.distinct()

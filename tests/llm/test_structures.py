@@ -89,11 +89,10 @@ def test_similar_sets(spark, t, least, frequent):
     assert rows(setjoin.similar_sets(unique, t, least, frequent), "id1", "id2") == want
 
 
-def test_hot_signatures_and_copies_are_split(spark, monkeypatch):
+def test_hot_signatures_and_copies_are_split(spark):
     # ten frequent tokens, so that signatures gather many sets, and a set with many copies
     rng = random.Random(11)
     records = {i: {rng.randrange(10) for _ in range(rng.randint(4, 9))} for i in range(120)} | {1000 + i: set(range(50, 55)) for i in range(40)}
-    monkeypatch.setattr(setjoin, "HOT_SETS", 3)
     df = spark.createDataFrame([(i, sorted(v)) for i, v in records.items()], "id bigint, vs array<bigint>")
     members, pairs = setjoin.similar_records(df, "0.7", 4)
     want = jaccard_pairs(records, 0.7, 4)
@@ -101,6 +100,11 @@ def test_hot_signatures_and_copies_are_split(spark, monkeypatch):
     several = members.where("copies > 1").select("id", "rep")
     got = rows(skew.group_pairs(several, ["rep"], "id", block_rows=7), "a", "b")
     assert got == sorted((a, b) for a, b in want if records[a] == records[b])
+    reps = df.groupBy("vs").agg(F.min("id").alias("id")).select("id", "vs").cache()
+    split = setjoin.similar_sets(reps, "0.7", 4, hot_sets=3)
+    assert rows(split, "id1", "id2") == rows(pairs, "id1", "id2")
+    plans = [x._jdf.queryExecution().toString() for x in (split, setjoin.similar_sets(reps, "0.7", 4))]
+    assert "Generate" in plans[0] and "Generate" not in plans[1]  # only the first has hot signatures
 
 
 def test_similar_long_sets_and_copies(spark):

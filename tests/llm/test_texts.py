@@ -66,6 +66,8 @@ def test_corpus_ids(spark, reference):
     df = spark.createDataFrame(data, "doc_id bigint, text string").selectExpr("*", "1 as ids", "2 as row").repartition(3)
     got = Counter((r.doc_id, tuple(r.ids)) for r in encoding.corpus_ids(df).collect())
     assert got == Counter((i, tuple(reference.encode_ordinary(t or ""))) for i, t in data)
+    apart = Counter((r.doc_id, tuple(r.ids)) for r in encoding.corpus_ids(df, sharing=1).collect())
+    assert apart == got
     assert encoding.corpus_ids(df.where("false")).count() == 0
 
 
